@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import schema_and
+
 # Format tags of RIFF WAVE.
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 TAGS = {"pcm": PCM, "alaw": ALAW, "mulaw": MULAW, "ima": IMA}
@@ -143,7 +145,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 def store_pcm(df: DataFrame, media: str = "media", rate_out: int = 16_000, out: str = "pcm") -> DataFrame:
     """df with out: the column media (stored files, null stays null) as PCM files at rate_out. Malformed files give null."""
     at = df.columns.index(media)
-    schema = df.drop(out).schema.add(out, "binary")
+    schema = schema_and(df.drop(out), **{out: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

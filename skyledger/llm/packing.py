@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import Scratch
+from .scratch import Scratch, schema_and
 
 ROWS_PER_BUCKET = 100_000
 #: Shares of the fractional solution that are tried; what is not taken goes by best fit.
@@ -302,7 +302,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 4096, by: tuple[st
                 j = np.searchsorted(lows, b.column(at_length).to_numpy(zero_copy_only=False) * 2**50 + rank, side="right") - 1
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(sequence[j] + rank - lo[j]), pa.array(offset[j])], [*b.schema.names[:width], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, schema_and(pieces, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

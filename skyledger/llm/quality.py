@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, schema_and
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "letters", "capitals", "digits", "signs", "rare_signs", "bars", "other_bytes", "different_words",
@@ -61,7 +61,7 @@ class PairGam:
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(k)] if n else [np.zeros(0)] * k
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
         self.pair_tables: dict[tuple[int, int], np.ndarray] = {}
-        share = min(max(float(y.mean()) if n else 0.5, 1e-4), 1 - 1e-4)
+        share = min(max(float(y.sum() + 1) / (n + 1), 1e-4), 1 - 1e-4)
         self.intercept = math.log(share / (1 - share))
         if not n or y.min() == y.max():
             return self
@@ -177,13 +177,13 @@ def feature_rows(docs: DataFrame, text: str = "text", out: str = "features") ->
             made = [text_features(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(made, pa.list_(pa.float64()))], [*names, out])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add(out, "array<double>"))
+    return docs.mapInArrow(run, schema_and(docs.select(*names), **{out: "array<double>"}))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> PairGam:
     """A model from labels (key, label) and the texts of docs: at most max_rows rows, those of the least hash of key.
 
-    Null labels and keys teach nothing, of a key's labels the greatest counts; with one label only, every score is its (smoothed) share.
+    Null labels and keys teach nothing, of a key's labels the greatest counts; with one label only, every score is near its share (1 without labels).
     """
     rows = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y is not null")
     rows = rows.groupBy("_k").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_k", F.lit("quality"))).orderBy("_h", "_k").limit(max_rows)
@@ -203,4 +203,4 @@ def score_quality(docs: DataFrame, model: PairGam, text: str = "text", out: str
             x = np.array([text_features(t.as_py()) for t in b.column(at)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "double"))
+    return docs.mapInArrow(run, schema_and(docs, **{out: "double"}))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,8 @@ class Scratch:
     def clear(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             self.drop(self.root)
+
+
+def schema_and(df: DataFrame, **more: str) -> StructType:
+    """df's schema and further fields, as a new one (StructType.add changes its own)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, schema_and
 
 # What a sign can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "#": "h"}
@@ -248,7 +248,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows:
     """A model from labels (key, label): the character model from all docs, the lexicon and weights from at most max_rows labelled rows.
 
     The sample are the rows of the least hash of key. One half of it makes the lexicon, the other one the weights.
-    Null labels and null keys teach nothing. Without rows of both labels every score is the share of label 1 (0.5 if there are none).
+    Null labels and null keys teach nothing. Without rows of both labels every score is near the share of label 1 (0 if there are no rows).
     """
     chars = count_trigrams(docs, text)
     rows = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y is not null")
@@ -282,7 +282,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows:
     got = sample.where("_half = 1").select("_y", "_t").mapInArrow(hits, "y int, a double, b double, c double").orderBy("a", "b", "c", "y").collect()
     y = np.array([1.0 if r["y"] else 0.0 for r in got])
     if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+        share = min(max(float(y.sum()) / (len(y) + 1), 1e-6), 1 - 1e-6)
         return ToxicityModel(chars, {}, np.array([0.0, 0.0, 0.0, math.log(share / (1 - share))]))
     return ToxicityModel(chars, lexicon, logistic(np.array([[r["a"], r["b"], r["c"]] for r in got]), y))
 
@@ -299,4 +299,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
                 made = pa.array([score(t) for t in part.column(at).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "double"))
+    return docs.mapInArrow(run, schema_and(docs, **{out: "double"}))
