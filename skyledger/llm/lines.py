@@ -122,11 +122,11 @@ class LineJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["sig", "words"])
 
         found = rows.mapInArrow(run, "sig long, words array<long>")
-        return self.scratch.cut(found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+        return self.scratch.settle(found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
 
     def _verify(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
         """sig of pairs (a, sig) whose whole sets are similar."""
-        pairs = self.scratch.cut(pairs)
+        pairs = self.scratch.settle(pairs)
         both = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("sig")).distinct()
         sets = self._sets(self.scratch.cut(both.join(firsts, "sig").select("sig", "first.k")))
         joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a").join(sets, "sig")
@@ -141,11 +141,12 @@ class LineJoin:
         for r in every.where("at is not null").select(F.explode(F.arrays_zip("at", "count")).alias("c")).groupBy("c.at").agg(F.sum("c.count").alias("n")).collect():
             counters[r["at"]] = r["n"]
         place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
-        firsts = self.scratch.cut(seen.groupBy("sig").agg(F.min(place).alias("first")))
+        firsts = self.scratch.settle(seen.groupBy("sig").agg(F.min(place).alias("first")))
         keyed = self._prefixes(counters)
         # a word of one class only has no pair
-        shared = keyed.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("g")
-        rows = self.scratch.cut(keyed.join(shared, "g").distinct().join(firsts, "sig"))
+        shared = self.scratch.settle(keyed.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("g"))
+        several = self.scratch.settle(keyed.join(shared, "g").distinct())
+        rows = self.scratch.settle(several.join(firsts, "sig"))
         other = lambda df: df.select("g", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("first").alias("before"))
         total = F.col("n") + F.col("na")
         size = F.least("n", "na") * self.den >= F.greatest("n", "na") * self.num
@@ -154,7 +155,7 @@ class LineJoin:
         similar = size & differ & room & (F.col("before") < F.col("first"))
         earliest = rows.groupBy("g").agg(F.min(F.struct("first", "sig", "n", "pos")).alias("p")).select("g", "p.*")
         pairs = rows.join(other(earliest), "g").where(similar).select("a", "sig").distinct()
-        gone = self.scratch.cut(self._verify(pairs, firsts))
+        gone = self.scratch.settle(self._verify(pairs, firsts))
         rest = rows.join(gone, "sig", "left_anti")
         pairs = rest.join(other(rows), "g").where(similar).select("a", "sig").distinct()
         gone = gone.unionAll(self._verify(pairs, firsts)).distinct().withColumn("near", F.lit(True))

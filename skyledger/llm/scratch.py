@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,13 @@ class Scratch:
         """df, written and read again."""
         return self.table(df)[0]
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """cut, and the driver's garbage collected: shuffle files of the finished step go then, not when the driver happens to run short."""
+        out = self.cut(df)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return out
+
     def table(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
