@@ -114,7 +114,8 @@ class Fragments:
         self.small = next(n for n in range(1, 10**6) if self.slack(n + 1) > 1)
         bounds = [self.small + 1]
         while bounds[-1] < 2**40:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * self.GROWTH)))
+            # the next class holds the largest similar sets of this one
+            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * self.GROWTH), bounds[-1] * den // num))
         self.bounds = np.array(bounds, np.int64)
         slack = np.array([self.slack(int(b) - 1) for b in bounds[1:]], np.int64)
         self.slacks = slack
