@@ -144,9 +144,11 @@ class LineJoin:
         firsts = self.scratch.settle(seen.groupBy("sig").agg(F.min(place).alias("first")))
         keyed = self._prefixes(counters)
         # a word of one class only has no pair
-        shared = self.scratch.settle(keyed.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("g"))
-        several = self.scratch.settle(keyed.join(shared, "g").distinct())
+        shared, shared_path = self.scratch.settle_table(keyed.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("g"))
+        several, several_path = self.scratch.settle_table(keyed.join(shared, "g").distinct())
+        self.scratch.drop(shared_path)
         rows = self.scratch.settle(several.join(firsts, "sig"))
+        self.scratch.drop(several_path)
         other = lambda df: df.select("g", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("first").alias("before"))
         total = F.col("n") + F.col("na")
         size = F.least("n", "na") * self.den >= F.greatest("n", "na") * self.num

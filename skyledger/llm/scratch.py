@@ -34,7 +34,10 @@ class Scratch:
 
     def settle(self, df: DataFrame) -> DataFrame:
         """cut, and the driver's garbage collected: shuffle files of the finished step go then, not when the driver happens to run short."""
-        out = self.cut(df)
+        return self.settle_table(df)[0]
+
+    def settle_table(self, df: DataFrame) -> tuple[DataFrame, str]:
+        out = self.table(df)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return out
