@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import kernels as K
-from .scratch import Scratch, schema_and
+from .scratch import Scratch
 
 #: Counters of word frequencies: a table of fixed size, whatever the vocabulary.
 COUNTERS = 2**18
@@ -48,11 +47,12 @@ class LineJoin:
     Lines are what newlines part, in the order of (key, line number); words are lower-cased between blanks. Lines of
     fewer than min_words different words are neither removed nor compared. Lines with one set of words are one class
     (a 64-bit signature); its first line stands for it, its later lines are copies. A first line is removed if an earlier
-    first line is similar (whether or not that one is removed itself).
+    first line is similar (whether or not that one is removed itself). Rows that repeat a key are ordered by a hash of their texts.
 
-    Words are ordered by rarity: by counters of hashed words over all distinct lines' words (a table of COUNTERS numbers), then by hash; any
+    Words are ordered by rarity: by counters of hashed words over all lines' words (a table of COUNTERS numbers), then by hash; any
     total order gives the same result. Similar sets share a word of their prefixes. Candidates agree on such a word, pass the
-    length filter and the positional one (words before the first shared one are differences), and are verified on whole sets.
+    length filter and the positional one (words before the first shared one are differences), then a sketch of 128 parities (the
+    places where two sketches differ are at most as many as the words that do), and are verified on whole sets.
     In each group of a prefix word, lines are first compared with the earliest only; those found similar are settled, the others are
     compared with the rest. So a group of near copies costs its size.
     """
@@ -60,11 +60,12 @@ class LineJoin:
     def __init__(self, docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, key: str = "doc_id", text: str = "text"):
         if not 0 < num <= den or min_words < 1:
             raise ValueError("threshold in (0, 1], at least one word")
-        self.docs, self.scratch, self.num, self.den, self.min_words, self.key = docs.select(F.col(key).alias("k"), F.col(text).alias("t")), scratch, num, den, min_words, key
+        self.docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+        self.scratch, self.num, self.den, self.min_words = scratch, num, den, min_words
         self.kind = docs.schema[key].dataType.simpleString()
 
     def occurrences(self) -> DataFrame:
-        """(k, line, sig, n, h) of the lines that count; h, a checksum of the text, orders rows that repeat a key. Rows with counters have at and count."""
+        """(k, h, line, sig) of the lines that count. Rows with counters have at and count."""
         least = self.min_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,133 +74,148 @@ class LineJoin:
             for b in _slices(batches):
                 unit, words, n, per_text = _word_sets(b.column(1).to_pylist())
                 total += np.bincount((words >> K.U(46)).astype(np.int64), minlength=COUNTERS)
-                sig = K.mix(K.set_sums(unit, K.mix(words), len(n))).view(np.int64)
                 doc = np.repeat(np.arange(len(per_text)), per_text)
                 line = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-                whole = K.set_sums(doc, K.mix(sig.view(K.U) + line.astype(K.U)), len(per_text)).view(np.int64)
                 at = np.flatnonzero(n >= least)
                 none = pa.nulls(len(at), pa.list_(pa.int64()))
                 empty = b.column(0).slice(0, 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[at])), pa.array(line[at], pa.int32()), pa.array(sig[at]), pa.array(n[at], pa.int32()), pa.array(whole[doc[at]]), none, none], names)
+                where = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(2).take(where), pa.array(line[at], pa.int32()), pa.array(_signatures(unit, words, n)[at]), none, none], names)
             used = np.flatnonzero(total)
             if empty is not None:
-                one = [pa.nulls(1, t) for t in (empty.type, pa.int32(), pa.int64(), pa.int32(), pa.int64())]
+                one = [pa.nulls(1, t) for t in (empty.type, pa.int64(), pa.int32(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*one, pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([total[used].tolist()], pa.list_(pa.int64()))], names)
 
-        names = ["k", "line", "sig", "n", "h", "at", "count"]
-        return self.scratch.cut(self.docs.mapInArrow(run, f"k {self.kind}, line int, sig long, n int, h long, at array<long>, count array<long>"))
+        names = ["k", "h", "line", "sig", "at", "count"]
+        return self.scratch.cut(self.docs.mapInArrow(run, f"k {self.kind}, h long, line int, sig long, at array<long>, count array<long>"))
 
     def _prefixes(self, counters: np.ndarray) -> DataFrame:
-        """(g, sig, n, pos): prefix words of every class (of each of its lines: copies fall together later)."""
+        """(sig, n, prefix, even, odd): the first words of every class by rarity, and its parities; a row for each slice that holds the class."""
         least, num, den = self.min_words, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
                 unit, words, n, _ = _word_sets(b.column(1).to_pylist())
-                sig = K.mix(K.set_sums(unit, K.mix(words), len(n))).view(np.int64)
+                sig = _signatures(unit, words, n)
+                once = np.zeros(len(n), bool)
+                once[np.unique(sig, return_index=True)[1]] = True
+                take = once & (n >= least)
+                unit, words = unit[take[unit]], words[take[unit]]
+                even, odd = _parities(unit, words, len(n))
                 order = np.lexsort((words, counters[(words >> K.U(46)).astype(np.int64)], unit))
                 unit, words = unit[order], words[order]
-                pos = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-                long = n[unit] - (n[unit] * num + den - 1) // den
-                # copies in the slice count once
-                first = np.zeros(len(n), bool)
-                first[np.unique(sig, return_index=True)[1]] = True
-                at = np.flatnonzero((pos <= long) & (n[unit] >= least) & first[unit])
-                u = unit[at]
-                yield pa.RecordBatch.from_arrays([pa.array(words[at].view(np.int64)), pa.array(sig[u]), pa.array(n[u], pa.int32()), pa.array(pos[at], pa.int32())], ["g", "sig", "n", "pos"])
+                size = np.where(take, n, 0)
+                pos = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+                most = n - (n * num + den - 1) // den + 1
+                ends = np.concatenate([[0], np.cumsum(most[take])])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[pos < most[unit]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[take]), pa.array(n[take], pa.int32()), prefix, pa.array(even[take].view(np.int64)), pa.array(odd[take].view(np.int64))], ["sig", "n", "prefix", "even", "odd"])
 
-        return self.docs.mapInArrow(run, "g long, sig long, n int, pos int")
+        return self.docs.mapInArrow(run, "sig long, n int, prefix array<long>, even long, odd long")
+
+    def _classes(self, seen: DataFrame, counters: np.ndarray) -> DataFrame:
+        """(num, sig, n, prefix, even, odd, first): every class once; num rises with its first line's place."""
+        place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
+        firsts, path = self.scratch.settle_table(seen.groupBy("sig").agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
+        once = self._prefixes(counters).dropDuplicates(["sig"])
+        classes = self.scratch.settle(once.join(firsts, "sig"))
+        self.scratch.drop(path)
+        return classes
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """(sig, words) of the classes wanted (sig, k: a row that holds it)."""
-        rows = self.docs.join(wanted.select(F.col("k").alias("k2")).distinct(), F.col("k").eqNullSafe(F.col("k2")), "left_semi")
+        """(sig, words) of the classes wanted (first: the place of a line that is one)."""
+        lines = wanted.groupBy(F.col("first.k").alias("k2"), F.col("first.h").alias("h2")).agg(F.collect_set("first.line").alias("lines"))
+        rows = self.docs.join(lines, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select("t", "lines")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
-                unit, words, n, _ = _word_sets(b.column(1).to_pylist())
-                sig = K.mix(K.set_sums(unit, K.mix(words), len(n))).view(np.int64)
+                chosen: list[bytes] = []
+                for t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    every = K.to_bytes(t).split(b"\n")
+                    chosen += [every[i] for i in at]
+                h, counts = K.split_units(chosen)
+                unit, words, n = K.distinct_by_unit(counts, h)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["sig", "words"])
-
-        found = rows.mapInArrow(run, "sig long, words array<long>")
-        return self.scratch.settle(found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
-
-    def _verify(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-        """sig of pairs (a, sig) whose whole sets are similar."""
-        pairs = self.scratch.settle(pairs)
-        both = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("sig")).distinct()
-        sets = self._sets(self.scratch.cut(both.join(firsts, "sig").select("sig", "first.k")))
-        joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a").join(sets, "sig")
-        o = F.size(F.array_intersect("wa", "words"))
-        return joined.where(o * self.den >= (F.size("wa") + F.size("words") - o) * self.num).select("sig").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(_signatures(unit, words, n)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["sig", "words"])
+
+        # rows that repeat a key and a text give a class again
+        return rows.mapInArrow(run, "sig long, words array<long>").dropDuplicates(["sig"])
+
+    def _verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """num of pairs (a, num) whose whole sets are similar."""
+        told = classes.select("num", "sig", "n", "even", "odd")
+        before = told.select(*[F.col(c).alias(f"{c}_a") for c in told.columns])
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in ("even", "odd"))
+        close = apart * (self.den + self.num) <= (F.col("n") + F.col("n_a")) * (self.den - self.num)
+        pairs, path = self.scratch.settle_table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(close).select("num", "sig", "n", "sig_a", "n_a"))
+        both = pairs.select("sig").unionAll(pairs.select("sig_a")).distinct()
+        sets, sets_path = self.scratch.settle_table(self._sets(both.join(classes.select("sig", "first"), "sig")))
+        joined = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("words_a")), "sig_a")
+        o = F.size(F.array_intersect("words", "words_a"))
+        found = self.scratch.settle(joined.where(o * self.den >= (F.col("n") + F.col("n_a") - o) * self.num).select("num").distinct())
+        self.scratch.drop(path)
+        self.scratch.drop(sets_path)
+        return found
 
     def removed(self) -> DataFrame:
         """(k, h, line) of the lines that go."""
         every = self.occurrences()
-        seen = every.where("sig is not null")
+        seen = every.where("sig is not null").select("k", "h", "line", "sig")
         counters = np.zeros(COUNTERS, np.int64)
         for r in every.where("at is not null").select(F.explode(F.arrays_zip("at", "count")).alias("c")).groupBy("c.at").agg(F.sum("c.count").alias("n")).collect():
             counters[r["at"]] = r["n"]
-        place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
-        firsts = self.scratch.settle(seen.groupBy("sig").agg(F.min(place).alias("first")))
-        keyed = self._prefixes(counters)
-        # a word of one class only has no pair
-        shared, shared_path = self.scratch.settle_table(keyed.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("g"))
-        several, several_path = self.scratch.settle_table(keyed.join(shared, "g").distinct())
-        self.scratch.drop(shared_path)
-        rows = self.scratch.settle(several.join(firsts, "sig"))
-        self.scratch.drop(several_path)
-        other = lambda df: df.select("g", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("first").alias("before"))
+        classes = self._classes(seen, counters)
+
+        def rows(some: DataFrame) -> DataFrame:
+            return some.select("num", "n", F.posexplode("prefix").alias("pos", "g"))
+
+        def other(some: DataFrame) -> DataFrame:
+            return some.select("g", F.col("num").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+
         total = F.col("n") + F.col("na")
         size = F.least("n", "na") * self.den >= F.greatest("n", "na") * self.num
         differ = (F.col("pos") + F.col("pa")) * (self.den + self.num) <= total * (self.den - self.num)
         room = F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pa")) * (self.den + self.num) >= total * self.num
-        similar = size & differ & room & (F.col("before") < F.col("first"))
-        earliest = rows.groupBy("g").agg(F.min(F.struct("first", "sig", "n", "pos")).alias("p")).select("g", "p.*")
-        pairs = rows.join(other(earliest), "g").where(similar).select("a", "sig").distinct()
-        gone = self.scratch.settle(self._verify(pairs, firsts))
-        rest = rows.join(gone, "sig", "left_anti")
-        pairs = rest.join(other(rows), "g").where(similar).select("a", "sig").distinct()
-        gone = gone.unionAll(self._verify(pairs, firsts)).distinct().withColumn("near", F.lit(True))
-        told = firsts.join(gone, "sig", "left")
-        hit = seen.join(told, "sig").where(F.col("near") | (place != F.col("first")))
-        return hit.select("k", "h", "line")
-
-    def texts(self) -> DataFrame:
-        """(k, h, t) of every row with its checksum, as occurrences() has it."""
+        similar = size & differ & room & (F.col("a") < F.col("num"))
+        # a word of one class only has no pair
+        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos")).alias("p"), F.max("num").alias("last")).where("last > p.num")
+        earliest, path = self.scratch.settle_table(groups.select("g", "p.*"))
+        gone = self._verify(rows(classes).join(other(earliest), "g").where(similar).select("a", "num").distinct(), classes)
+        self.scratch.drop(path)
+        rest = classes.join(gone, "num", "left_anti")
+        later = self._verify(rows(rest).join(other(rows(classes)), "g").where(similar).select("a", "num").distinct(), classes)
+        near = gone.unionAll(later).withColumn("near", F.lit(True))
+        told = classes.select("num", "sig", "first").join(near, "num", "left")
+        place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
+        return seen.join(told, "sig").where(F.col("near") | (place != F.col("first"))).select("k", "h", "line")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(checksums(b.column(1).to_pylist())), *b.columns], ["h", "k", "t"])
 
-        return self.docs.mapInArrow(run, f"h long, k {self.kind}, t string")
+def _signatures(unit: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return K.mix(K.set_sums(unit, K.mix(words), len(n))).view(np.int64)
 
 
-def checksums(texts: list[str | None]) -> np.ndarray:
-    unit, words, n, per_text = _word_sets(texts)
-    sig = K.mix(K.set_sums(unit, K.mix(words), len(n)))
-    doc = np.repeat(np.arange(len(per_text)), per_text)
-    line = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    return K.set_sums(doc, K.mix(sig + line.astype(K.U)), len(per_text)).view(np.int64)
+def _parities(unit: np.ndarray, words: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each unit; each word turns one bit of one of them."""
+    spread = K.mix(words ^ K.U(0xC2B2AE3D27D4EB4F))
+    bit = K.U(1) << (spread & K.U(63))
+    which = (spread >> K.U(6)) & K.U(1)
+    out = np.zeros((2, units), K.U)
+    if len(unit):
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        for i in (0, 1):
+            out[i, unit[first]] = np.bitwise_xor.reduceat(np.where(which == i, bit, K.U(0)), first)
+    return out[0], out[1]
 
 
 def removed_line_lists(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs and the column MARK: numbers (from 0, rising) of the lines that go, null where all stay.
 
-    Of rows that repeat a key with texts of one checksum, the first keeps what the others lose.
+    Of rows that repeat a key and a text, all keep what the first line of a class is.
     """
     join = LineJoin(docs, scratch, num, den, min_words, key, text)
-    # a row that repeats another's key and words is a copy of it: its place is the same, so all lines are the first's, and it is told apart by its number
-    gone = join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK))
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(checksums(b.column(at).to_pylist()))], [*names, "_h"])
-
-    marked = docs.mapInArrow(run, schema_and(docs, _h="long"))
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("k")) & (F.col("_h") == F.col("h")), "left").select(*[F.col(c) for c in names], MARK)
+    gone = scratch.settle(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    return hashed.join(gone, hashed[key].eqNullSafe(gone["k"]) & (hashed["_text_hash"] == gone["h"]), "left").select(*[hashed[c] for c in docs.columns], gone[MARK])
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, drop_share: float | None = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -86,10 +86,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = removed_line_lists(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
-    gone = F.coalesce(F.col(MARK), F.array().cast("array<int>"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    return marked.select("doc_id", lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", lines.alias("n_lines"))
+    marked = removed_line_lists(docs, Scratch(spark, "op10"))
+    gone = F.coalesce(F.col(MARK), F.array().cast("array<int>"))
+    return marked.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
