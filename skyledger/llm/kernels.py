@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_CACHE: dict[bytes, int] = {}
-_CACHE_LIMIT = 400_000
 U = np.uint64
+#: An odd number; words are hashed as polynomials in it.
+ROOT = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; a longer word takes more.
+CHUNK = 2**20
+_POWERS = [np.zeros(0, U), np.zeros(0, U)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -17,18 +19,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a cache of bounded size that lives as long as the worker."""
-    if len(_CACHE) > _CACHE_LIMIT:
-        _CACHE.clear()
-    get, digest = _CACHE.get, xxhash.xxh64_intdigest
-    out = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _CACHE[w] = digest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64) if out else np.zeros(0, np.uint64)
+#: A number for each byte.
+BYTES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ROOT and of its inverse, modulo 2^64; kept as long as the worker lives."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * CHUNK)
+        for i, base in enumerate((ROOT, pow(ROOT, -1, 2**64))):
+            steps = np.full(size, base, U)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes raw[start:end], in order and apart: sums of a number for each byte times a power of ROOT for its place.
+
+    Sums run over a chunk of whole spans at a time, and a span's own is a difference of two, moved back to place 0.
+    """
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        s, e = starts[at:to] - base, ends[at:to] - base
+        up, down = _powers(int(e[-1]) + 1)
+        sums = np.zeros(int(e[-1]) + 1, U)
+        np.cumsum(BYTES[raw[base : base + int(e[-1])]] * up[:-1], out=sums[1:])
+        out[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    return mix(out)
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes: what stands between \\x20 and \\x09-\\x0D."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
 
 
 def to_bytes(text: str | None) -> bytes:
@@ -37,14 +67,20 @@ def to_bytes(text: str | None) -> bytes:
 
 
 def split_units(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all units in a row, and each unit's number of words [^\\x20\\x09-\\x0D]+ (what bytes.split() takes)."""
-    words: list[bytes] = []
-    counts = np.empty(len(units), np.int64)
-    for i, u in enumerate(units):
-        w = u.split()
-        counts[i] = len(w)
-        words += w
-    return word_hashes(words), counts
+    """Word hashes of all units in a row, and each unit's number of words [^\\x20\\x09-\\x0D]+."""
+    raw = np.frombuffer(b" ".join(units), np.uint8)
+    starts, ends = word_spans(raw)
+    begins = np.cumsum([0] + [len(u) + 1 for u in units], dtype=np.int64)
+    return span_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, begins))
+
+
+def split_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all lines of all texts in a row, the number of words of each line, the number of lines of each text."""
+    joined = b"\n".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
+    starts, ends = word_spans(raw)
+    begins = np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw) + 1]]) if texts else np.zeros(1, np.int64)
+    return span_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, begins)), np.array([t.count(b"\n") + 1 for t in texts], np.int64)
 
 
 def distinct_by_unit(made: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

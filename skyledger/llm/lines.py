@@ -18,20 +18,9 @@ SLICE = 400
 MARK = "_removed_lines"
 
 
-def _lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    out: list[bytes] = []
-    counts = []
-    for t in texts:
-        lines = K.to_bytes(t).split(b"\n")
-        out += lines
-        counts.append(len(lines))
-    return out, np.array(counts, np.int64)
-
-
 def _word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line of each word, word hash, words per line, lines per text): distinct words of every line."""
-    lines, per_text = _lines(texts)
-    h, counts = K.split_units(lines)
+    h, counts, per_text = K.split_lines([K.to_bytes(t) for t in texts])
     return *K.distinct_by_unit(counts, h), per_text
 
 
@@ -94,16 +83,21 @@ class LineJoin:
         least, num, den = self.min_words, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a counter's place among the counters takes the place of the bits that chose it: one number that sorts by rarity and tells the word
+            place = np.empty(COUNTERS, K.U)
+            chosen_by = np.argsort(counters, kind="stable").astype(K.U)
+            place[chosen_by] = np.arange(COUNTERS, dtype=K.U)
+            rest = K.U(2**46 - 1)
             for b in _slices(batches):
-                unit, words, n, _ = _word_sets(b.column(1).to_pylist())
+                h, counts, _ = K.split_lines([K.to_bytes(t) for t in b.column(1).to_pylist()])
+                unit, ranked, n = K.distinct_by_unit(counts, (place[h >> K.U(46)] << K.U(46)) | (h & rest))
+                words = (chosen_by[ranked >> K.U(46)] << K.U(46)) | (ranked & rest)
                 sig = _signatures(unit, words, n)
                 once = np.zeros(len(n), bool)
                 once[np.unique(sig, return_index=True)[1]] = True
                 take = once & (n >= least)
                 unit, words = unit[take[unit]], words[take[unit]]
                 even, odd = _parities(unit, words, len(n))
-                order = np.lexsort((words, counters[(words >> K.U(46)).astype(np.int64)], unit))
-                unit, words = unit[order], words[order]
                 size = np.where(take, n, 0)
                 pos = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
                 most = n - (n * num + den - 1) // den + 1
