@@ -15,6 +15,8 @@ from .scratch import Scratch
 #: Counters of word frequencies: a table of fixed size, whatever the vocabulary.
 COUNTERS = 2**18
 SLICE = 400
+#: A prefix word of more classes than this is a crowd: its classes are compared with its earliest first.
+CROWD = 64
 MARK = "_removed_lines"
 
 
@@ -42,8 +44,8 @@ class LineJoin:
     total order gives the same result. Similar sets share a word of their prefixes. Candidates agree on such a word, pass the
     length filter and the positional one (words before the first shared one are differences), then a sketch of 128 parities (the
     places where two sketches differ are at most as many as the words that do), and are verified on whole sets.
-    In each group of a prefix word, lines are first compared with the earliest only; those found similar are settled, the others are
-    compared with the rest. So a group of near copies costs its size.
+    Where more than CROWD classes share a prefix word, they are first compared with the earliest only; those found similar are
+    settled, and all others are compared with every class that shares a word. So a group of near copies costs its size.
     """
 
     def __init__(self, docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, key: str = "doc_id", text: str = "text"):
@@ -171,8 +173,7 @@ class LineJoin:
         differ = (F.col("pos") + F.col("pa")) * (self.den + self.num) <= total * (self.den - self.num)
         room = F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pa")) * (self.den + self.num) >= total * self.num
         similar = size & differ & room & (F.col("a") < F.col("num"))
-        # a word of one class only has no pair
-        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos")).alias("p"), F.max("num").alias("last")).where("last > p.num")
+        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos")).alias("p"), F.count("*").alias("m")).where(F.col("m") > CROWD)
         earliest, path = self.scratch.settle_table(groups.select("g", "p.*"))
         gone = self._verify(rows(classes).join(other(earliest), "g").where(similar).select("a", "num").distinct(), classes)
         self.scratch.drop(path)
