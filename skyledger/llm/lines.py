@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -137,13 +137,16 @@ class LineJoin:
         # rows that repeat a key and a text give a class again
         return rows.mapInArrow(run, "sig long, words array<long>").dropDuplicates(["sig"])
 
+    def _close(self, *sketches: str) -> Column:
+        """Whether two sets, the other's columns with _a, differ in few enough of the sketches' places."""
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in sketches)
+        return apart * (self.den + self.num) <= (F.col("n") + F.col("n_a")) * (self.den - self.num)
+
     def _verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """num of pairs (a, num) whose whole sets are similar."""
         told = classes.select("num", "sig", "n", "even", "odd")
         before = told.select(*[F.col(c).alias(f"{c}_a") for c in told.columns])
-        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in ("even", "odd"))
-        close = apart * (self.den + self.num) <= (F.col("n") + F.col("n_a")) * (self.den - self.num)
-        pairs, path = self.scratch.settle_table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(close).select("num", "sig", "n", "sig_a", "n_a"))
+        pairs, path = self.scratch.settle_table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(self._close("even", "odd")).select("num", "sig", "n", "sig_a", "n_a"))
         both = pairs.select("sig").unionAll(pairs.select("sig_a")).distinct()
         sets, sets_path = self.scratch.settle_table(self._sets(both.join(classes.select("sig", "first"), "sig")))
         joined = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("words_a")), "sig_a")
@@ -163,17 +166,17 @@ class LineJoin:
         classes = self._classes(seen, counters)
 
         def rows(some: DataFrame) -> DataFrame:
-            return some.select("num", "n", F.posexplode("prefix").alias("pos", "g"))
+            return some.select("num", "n", "even", F.posexplode("prefix").alias("pos", "g"))
 
         def other(some: DataFrame) -> DataFrame:
-            return some.select("g", F.col("num").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-
-        total = F.col("n") + F.col("na")
-        size = F.least("n", "na") * self.den >= F.greatest("n", "na") * self.num
-        differ = (F.col("pos") + F.col("pa")) * (self.den + self.num) <= total * (self.den - self.num)
-        room = F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pa")) * (self.den + self.num) >= total * self.num
-        similar = size & differ & room & (F.col("a") < F.col("num"))
-        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos")).alias("p"), F.count("*").alias("m")).where(F.col("m") > CROWD)
+            return some.select("g", F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("even").alias("even_a"))
+
+        total = F.col("n") + F.col("n_a")
+        size = F.least("n", "n_a") * self.den >= F.greatest("n", "n_a") * self.num
+        differ = (F.col("pos") + F.col("pos_a")) * (self.den + self.num) <= total * (self.den - self.num)
+        room = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) * (self.den + self.num) >= total * self.num
+        similar = (F.col("a") < F.col("num")) & size & differ & room & self._close("even")
+        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos", "even")).alias("p"), F.count("*").alias("m")).where(F.col("m") > CROWD)
         earliest, path = self.scratch.settle_table(groups.select("g", "p.*"))
         gone = self._verify(rows(classes).join(other(earliest), "g").where(similar).select("a", "num").distinct(), classes)
         self.scratch.drop(path)
