@@ -112,9 +112,9 @@ class LineJoin:
     def _classes(self, seen: DataFrame, counters: np.ndarray) -> DataFrame:
         """(num, sig, n, prefix, even, odd, first): every class once; num rises with its first line's place."""
         place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
-        firsts, path = self.scratch.settle_table(seen.groupBy("sig").agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
+        firsts, path = self.scratch.table(seen.groupBy("sig").agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
         once = self._prefixes(counters).dropDuplicates(["sig"])
-        classes = self.scratch.settle(once.join(firsts, "sig"))
+        classes = self.scratch.cut(once.join(firsts, "sig"))
         self.scratch.drop(path)
         return classes
 
@@ -146,12 +146,12 @@ class LineJoin:
         """num of pairs (a, num) whose whole sets are similar."""
         told = classes.select("num", "sig", "n", "even", "odd")
         before = told.select(*[F.col(c).alias(f"{c}_a") for c in told.columns])
-        pairs, path = self.scratch.settle_table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(self._close("even", "odd")).select("num", "sig", "n", "sig_a", "n_a"))
+        pairs, path = self.scratch.table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(self._close("even", "odd")).select("num", "sig", "n", "sig_a", "n_a"))
         both = pairs.select("sig").unionAll(pairs.select("sig_a")).distinct()
-        sets, sets_path = self.scratch.settle_table(self._sets(both.join(classes.select("sig", "first"), "sig")))
+        sets, sets_path = self.scratch.table(self._sets(both.join(classes.select("sig", "first"), "sig")))
         joined = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("words_a")), "sig_a")
         o = F.size(F.array_intersect("words", "words_a"))
-        found = self.scratch.settle(joined.where(o * self.den >= (F.col("n") + F.col("n_a") - o) * self.num).select("num").distinct())
+        found = self.scratch.cut(joined.where(o * self.den >= (F.col("n") + F.col("n_a") - o) * self.num).select("num").distinct())
         self.scratch.drop(path)
         self.scratch.drop(sets_path)
         return found
@@ -177,7 +177,7 @@ class LineJoin:
         room = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) * (self.den + self.num) >= total * self.num
         similar = (F.col("a") < F.col("num")) & size & differ & room & self._close("even")
         groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos", "even")).alias("p"), F.count("*").alias("m")).where(F.col("m") > CROWD)
-        earliest, path = self.scratch.settle_table(groups.select("g", "p.*"))
+        earliest, path = self.scratch.table(groups.select("g", "p.*"))
         gone = self._verify(rows(classes).join(other(earliest), "g").where(similar).select("a", "num").distinct(), classes)
         self.scratch.drop(path)
         rest = classes.join(gone, "num", "left_anti")
@@ -211,7 +211,7 @@ def removed_line_lists(docs: DataFrame, scratch: Scratch, num: int = 8, den: int
     Of rows that repeat a key and a text, all keep what the first line of a class is.
     """
     join = LineJoin(docs, scratch, num, den, min_words, key, text)
-    gone = scratch.settle(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
+    gone = scratch.cut(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
     hashed = docs.withColumn("_text_hash", F.xxhash64(text))
     return hashed.join(gone, hashed[key].eqNullSafe(gone["k"]) & (hashed["_text_hash"] == gone["h"]), "left").select(*[hashed[c] for c in docs.columns], gone[MARK])
 

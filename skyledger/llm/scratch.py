@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Spark removes a query's shuffle files when the query ends: its table is written by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
@@ -32,19 +34,14 @@ class Scratch:
         """df, written and read again."""
         return self.table(df)[0]
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """cut, and the driver's garbage collected: shuffle files of the finished step go then, not when the driver happens to run short."""
-        return self.settle_table(df)[0]
-
-    def settle_table(self, df: DataFrame) -> tuple[DataFrame, str]:
-        out = self.table(df)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return out
-
     def table(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
