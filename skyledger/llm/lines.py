@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .scratch import Scratch
 
 #: Counters of word frequencies: a table of fixed size, whatever the vocabulary.
 COUNTERS = 2**18
-SLICE = 400
+SLICE, SLICE_BYTES = 400, 2**20
 #: A prefix word of more classes than this is a crowd: its classes are compared with its earliest first.
 CROWD = 64
 MARK = "_removed_lines"
@@ -26,10 +27,16 @@ def _word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return *K.distinct_by_unit(counts, h), per_text
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows and about SLICE_BYTES of text; a longer text is one of its own."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            yield whole.slice(at, SLICE)
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            fits = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            to = min(max(fits, at + 1), at + SLICE)
+            yield whole.slice(at, to - at)
+            at = to
 
 
 class LineJoin:
@@ -124,7 +131,7 @@ class LineJoin:
         rows = self.docs.join(lines, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select("t", "lines")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
+            for b in _slices(batches, 0):
                 chosen: list[bytes] = []
                 for t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     every = K.to_bytes(t).split(b"\n")
