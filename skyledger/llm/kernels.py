@@ -8,7 +8,7 @@ U = np.uint64
 #: An odd number; words are hashed as polynomials in it.
 ROOT = 0x9E3779B97F4A7C15
 #: Bytes that are hashed at once; a longer word takes more.
-CHUNK = 2**20
+CHUNK = 2**16
 _POWERS = [np.zeros(0, U), np.zeros(0, U)]
 
 
