@@ -29,7 +29,7 @@ ROUNDED = (1.0, 0.8, 0.5, 0.2)
 #: The program is over classes of lengths, capacity / UNITS wide and rounded up; lengths up to SAND classes are left for the gaps.
 UNITS, SAND = 64, 4
 #: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
