@@ -217,8 +217,10 @@ def removed_line_lists(docs: DataFrame, scratch: Scratch, num: int = 8, den: int
 
     Of rows that repeat a key and a text, all keep what the first line of a class is.
     """
-    join = LineJoin(docs, scratch, num, den, min_words, key, text)
+    steps = Scratch(docs.sparkSession, "line-steps")
+    join = LineJoin(docs, steps, num, den, min_words, key, text)
     gone = scratch.cut(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
+    steps.clear()
     hashed = docs.withColumn("_text_hash", F.xxhash64(text))
     return hashed.join(gone, hashed[key].eqNullSafe(gone["k"]) & (hashed["_text_hash"] == gone["h"]), "left").select(*[hashed[c] for c in docs.columns], gone[MARK])
 
