@@ -161,21 +161,24 @@ class JaccardJoin:
             label = connected_components(links, self.scratch)
         return self.scratch.cut(label)
 
+    def least(self) -> DataFrame:
+        """(sig, least): every class and the least key that its links reach."""
+        own = self.base.where("sig is not null").groupBy("sig").agg(F.min(self.key).alias("least"))
+        label = self.classes()
+        if label is None:
+            return own
+        linked = own.join(label, F.col("sig") == F.col("node"))
+        least = linked.groupBy("component").agg(F.min("least").alias("of_all"))
+        told = label.join(least, "component").select(F.col("node").alias("sig"), "of_all")
+        return own.join(told, "sig", "left").select("sig", F.coalesce("of_all", "least").alias("least"))
+
     def groups(self) -> DataFrame:
         """(key, n_shingles, component_id) for every row of docs: component_id is the least key that links reach.
 
         Null and blank texts have an empty set, no link and their own key; a null key is never the least of others.
         Repeated rows stay, each with the same component.
         """
-        rows = self.base.select(self.key, "n", "sig")
-        own = rows.where("sig is not null").groupBy("sig").agg(F.min(self.key).alias("least"))
-        label = self.classes()
-        if label is not None:
-            linked = own.join(label, F.col("sig") == F.col("node"))
-            least = linked.groupBy("component").agg(F.min("least").alias("of_all"))
-            told = label.join(least, "component").select(F.col("node").alias("sig"), "of_all")
-            own = own.join(told, "sig", "left").select("sig", F.coalesce("of_all", "least").alias("least"))
-        full = rows.join(own, "sig", "left")
+        full = self.base.select(self.key, "n", "sig").join(self.least(), "sig", "left")
         return full.select(self.key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(self.key)).alias("component_id"))
 
 
@@ -185,17 +188,16 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, words: int = 5, num: int =
 
 
 def keep_one_of_each_group(docs: DataFrame, scratch: Scratch, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of jaccard_groups: that of the least key.
+    """docs with one row of each group of similar rows: that of the least key, null keys last, then of the least checksum of the text.
 
-    Rows with an empty set are in no group and all stay. Of rows that repeat the least key with a similar text, the one
-    with the least checksum and text stays. A group whose keys are all null keeps one row in the same way.
+    Rows are grouped by their texts, whatever their keys: rows that repeat a key, or have none, are one group only if
+    links join their texts. Rows with an empty set are in no group and all stay.
     """
-    groups = scratch.cut(jaccard_groups(docs, scratch, words, num, den, key, text))
-    grouped = groups.where("n_shingles > 0")
-    heads = grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_head")).distinct()
+    # a row's key and a 128-bit checksum of its text: rows that share it have one text, so one group
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
+    heads = scratch.cut(JaccardJoin(docs.select(place.alias("_place"), text), scratch, words, num, den, "_place", text).least().select(F.col("least").alias("_head")).distinct())
     empty = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     blank = docs.where(empty)
-    chosen = docs.where(~empty).join(heads, F.col(key).eqNullSafe(F.col("_head")), "left_semi")
-    order = F.struct(F.xxhash64(text).alias("_h"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    one = chosen.groupBy(F.col(key).alias("_key")).agg(F.min(order)["_row"].alias("_row")).select("_row.*")
+    chosen = docs.where(~empty).withColumn("_place", place).join(heads, F.col("_place") == F.col("_head"), "left_semi")
+    one = chosen.groupBy("_place").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")).select("_row.*")
     return one.unionByName(blank)

@@ -69,6 +69,25 @@ def test_groups_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 8, 9] and kept.columns == ["doc_id", "text", "keys", "n"]
 
 
+def test_one_row_of_each_group_whatever_its_key(spark):
+    texts = [f"{w} one two three four five {w}{w}" for w in ("a", "b", "c", "d", "e", "a", "b", "g")]
+    ids = [None, None, 5, 5, 5, None, 4, 7]
+    kept = keep_one_of_each_group(table(spark, [*texts, " ", None], [*ids, None, None]), Scratch(spark, "t"))
+    want = [(None, texts[0]), (4, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[7]), (None, " "), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
+def test_kept_rows_against_brute_force(spark):
+    texts, rng = corpus(3) * 2, random.Random(4)
+    ids = [rng.choice([None, *range(8)]) for _ in texts]
+    kept = Counter(r.text for r in keep_one_of_each_group(table(spark, texts, ids), Scratch(spark, "t")).collect())
+    group = brute(texts, 5, 8, 10)
+    want = Counter(g for n, g in group if n > 0)
+    of = {t: g for t, (n, g) in reversed(list(zip(texts, group))) if n > 0}
+    assert Counter(of[t] for t in kept.elements() if t in of) == Counter(want.keys())
+    assert sum(c for t, c in kept.items() if t not in of) == sum(n == 0 for n, _ in group)
+
+
 def test_components(spark):
     s = Scratch(spark, "t")
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
