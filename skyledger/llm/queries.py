@@ -88,7 +88,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", lines.alias("n_lines"))
-    marked = removed_line_lists(docs, Scratch(spark, "op10"))
+    marked = removed_line_lists(docs, Scratch(spark, "op10"), min_words=1)
     gone = F.coalesce(F.col(MARK), F.array().cast("array<int>"))
     return marked.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
 

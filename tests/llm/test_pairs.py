@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from skyledger.llm.components import connected_components
 from skyledger.llm.jaccard import jaccard_groups, keep_one_of_each_group
 from skyledger.llm.lines import MARK, dedup_lines, removed_line_lists
+from skyledger.llm.queries import op10_line_dedup
 from skyledger.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, keys string, n long"
@@ -96,12 +97,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), s).count() == 0
 
 
-def brute_lines(texts):
+def brute_lines(texts, least=5):
     seen, inverted, out = [], defaultdict(list), {}
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").encode().lower().split(b"\n")):
             words = frozenset(line.split())
-            if len(words) < 5:
+            if len(words) < least:
                 continue
             shared = Counter(j for w in words for j in inverted[w])
             if any(10 * o >= 8 * (len(words) + len(seen[j]) - o) for j, o in shared.items()):
@@ -119,6 +120,16 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_op10_takes_short_lines_too(spark, tmp_path):
+    flat = [t for t in corpus(2) if t and len(t) < 2000]
+    texts = ["\n".join(flat[i : i + 3]) for i in range(len(flat))] + [None, "\n\n", "a b c d\none\nd c B a", "ONE one\na b c d e\n \nf", "f\na b c"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute_lines(texts, 1)
+    assert {i: r.removed_lines for i, r in got.items() if r.n_removed} == want and len(got) == len(texts)
+    assert all(r.n_removed == len(want.get(i, [])) for i, r in got.items())
+
+
 def test_dedup_lines(spark):
     line = "the quick brown fox jumps over it"
     docs = table(spark, [line + "\nunlike all others are these words here now", line + "\nonly", line + "\nand quite some more words that nobody has seen\nx", None, ""])
