@@ -26,7 +26,8 @@ LEET_COST, SEPARATOR_COST, REPEAT_COST, MASK_COST = -2.5, -1.5, -1.0, -3.5
 SEPARATORS = set(".-_*'~,/\\`^:;")
 EDGE = re.compile(r"^[\W_]{2,}(?=\w)|^[\"'(\[{<,.;:¿¡*_-]+(?=\w)|(?<=\w)[^\w\s]{2,}$|(?<=\w)[\"')\]}>,.;:?!*_-]+$")
 ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
+#: Three single characters or more, parted by blanks of any kind and number; shorter words have no features.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 TRIPLE = re.compile(r"(.)\1\1")
 MAX_WORD = 40
 CACHE_WORDS = 300_000
@@ -35,6 +36,8 @@ CACHE_WORDS = 300_000
 def class_of(ch: str) -> int:
     if "a" <= ch <= "z":
         return ord(ch) - 96
+    if ch == " ":
+        return 0
     return OTHER if ch.isalpha() else SIGN
 
 
@@ -83,12 +86,22 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def arcs(word: str, at: int) -> list[tuple[int, str, float]]:
-    """Ways on from a place: (next place, letters read, log-probability of the channel)."""
+def run_ends(word: str) -> list[int]:
+    """For each place, where the run of equal characters that holds it ends."""
+    ends = [len(word)] * len(word)
+    for at in range(len(word) - 2, -1, -1):
+        ends[at] = ends[at + 1] if word[at] == word[at + 1] else at + 1
+    return ends
+
+
+def arcs(word: str, at: int, end: int) -> list[tuple[int, str, float]]:
+    """Ways on from a place in a run that ends at end: (next place, letters read, log-probability of the channel).
+
+    A blank in a spaced run parts letters or words: both readings cost the same, the source model tells them apart.
+    """
     ch = word[at]
-    end = at + 1
-    while end < len(word) and word[end] == ch:
-        end += 1
+    if ch == " ":
+        return [(at + 1, "", 0.0), (at + 1, " ", 0.0)]
     out = []
     if ch.isalpha():
         out.append((at + 1, ch, 0.0))
@@ -104,16 +117,37 @@ def arcs(word: str, at: int) -> list[tuple[int, str, float]]:
     return out
 
 
+def reading(node: tuple | None, stop: tuple | None = None) -> str:
+    """What a path of nodes (node before, letters read, place) has read since stop."""
+    out = []
+    while node is not stop:
+        out.append(node[1])
+        node = node[0]
+    return "".join(reversed(out))
+
+
+def earlier(a: tuple, b: tuple) -> bool:
+    """Whether path a reads what comes first in alphabetical order; only what follows the node that both share is read."""
+    x, y = a, b
+    while x is not y:
+        if x[2] >= y[2]:
+            x = x[0]
+        else:
+            y = y[0]
+    return reading(a, x) < reading(b, x)
+
+
 def viterbi(word: str, model: CharModel) -> str:
-    """The likeliest reading; of equally likely ones the first in alphabetical order."""
-    logp = model.logp
-    states: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
-    states[0][(0, 0)] = (0.0, "")
+    """The likeliest reading; of equally likely ones the first in alphabetical order. Time is linear in the length."""
+    logp, ends = model.logp, run_ends(word)
+    root = (None, "", -1)
+    states: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
+    states[0][(0, 0)] = (0.0, root)
     for at in range(len(word)):
         if not states[at]:
             continue
-        ways = arcs(word, at)
-        for (a, b), (score, text) in states[at].items():
+        ways = arcs(word, at, ends[at])
+        for (a, b), (score, path) in states[at].items():
             for end, read, cost in ways:
                 x, y, s = a, b, score + cost
                 for ch in read:
@@ -121,11 +155,13 @@ def viterbi(word: str, model: CharModel) -> str:
                     s += logp[x][y][z]
                     x, y = y, z
                 old = states[end].get((x, y))
-                new = (s, text + read)
-                if old is None or s > old[0] or (s == old[0] and new[1] < old[1]):
-                    states[end][(x, y)] = new
-    final = [(-(s + logp[a][b][0]), text) for (a, b), (s, text) in states[-1].items()]
-    return min(final)[1]
+                new = (path, read, at)
+                if old is None or s > old[0] or (s == old[0] and earlier(new, old[1])):
+                    states[end][(x, y)] = (s, new)
+        states[at] = {}
+    final = [(s + logp[a][b][0], path) for (a, b), (s, path) in states[-1].items()]
+    best = max(s for s, _ in final)
+    return min(reading(path, root) for s, path in final if s == best)
 
 
 class Restorer:
@@ -139,6 +175,8 @@ class Restorer:
         self.model, self.cache = model, {}
 
     def word(self, token: str) -> str:
+        if " " in token:
+            return self.run(token)
         if token.isalpha() or (token[:-1].isalpha() and token[-1] in ".,"):
             w = token.lower() if token[-1] not in ".," else token[:-1].lower()
             return w if not TRIPLE.search(w) else viterbi(w, self.model) if len(w) <= MAX_WORD else w
@@ -150,8 +188,16 @@ class Restorer:
         return viterbi(w, self.model)
 
     def tokens(self, text: str) -> list[str]:
-        """Words between blanks, and what letters parted by blanks make together."""
-        return text.split() + [j.replace(" ", "") for j in SPACED.findall(text)]
+        """Words between blanks, and runs of letters parted by blanks, each run one token with single blanks."""
+        return text.split() + [" ".join(run.split()) for run in SPACED.findall(text)]
+
+    def run(self, token: str) -> str:
+        """The words of a spaced run by the likeliest reading, and the run read as one word."""
+        if not any(ch.isalpha() for ch in token):
+            return ""
+        whole = self.word(token.replace(" ", ""))
+        read = viterbi(token.lower(), self.model).split()
+        return " ".join(read if whole in read else [*read, whole])
 
     def words(self, text: str) -> list[str]:
         out, cache = [], self.cache
@@ -162,7 +208,7 @@ class Restorer:
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
                 cache[token] = w
-            out.append(w)
+            out += w.split()
         return out
 
 
@@ -180,7 +226,7 @@ class Hits:
     def __init__(self, restorer: Restorer, lexicon: dict[str, float]):
         self.restorer, self.lexicon = restorer, lexicon
         self.seen: set[str] = set()
-        self.hot: dict[str, tuple[str, float]] = {}
+        self.hot: dict[str, dict[str, float]] = {}
 
     def __call__(self, text: str | None) -> tuple[float, float, float]:
         """(sum of the weights of different words that hit, greatest weight, hits per hundred words, logarithmic)."""
@@ -192,12 +238,12 @@ class Hits:
             for w in self.restorer.word(token).split():
                 v = max((self.lexicon.get(f, 0.0) for f in word_features(w)), default=0.0)
                 if v:
-                    self.hot[token] = max(self.hot.get(token, ("", 0.0)), (w, v), key=lambda x: x[1])
+                    self.hot.setdefault(token, {})[w] = v
         self.seen |= different
         found = different & self.hot.keys()
         if not found:
             return 0.0, 0.0, 0.0
-        hits = dict(self.hot[t] for t in found)
+        hits = {w: v for t in found for w, v in self.hot[t].items()}
         n = sum(t in found for t in tokens)
         return math.fsum(hits.values()), max(hits.values()), math.log1p(100 * n / len(tokens))
 

@@ -154,6 +154,21 @@ def test_toxicity(spark):
     assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs(spark), none).collect())
 
 
+def restorer():
+    text = "  ".join(["you are a moron and an idiot in the house", "what a moron he is", "she said hello to the idiot"] * 50).encode()
+    c = toxicity.byte_classes()[np.frombuffer(b"  " + text + b"  ", np.uint8)]
+    return toxicity.Restorer(toxicity.CharModel(np.bincount(c[:-2] * toxicity.CLASSES**2 + c[1:-1] * toxicity.CLASSES + c[2:], minlength=toxicity.CLASSES**3)))
+
+
+def test_spaced_words(spark):
+    r = restorer()
+    assert "moron" in r.words("you are a m o r o n") and "moron" in r.words("y o u a r e a m o r o n")
+    assert all("idiot" in r.words(t) for t in ("i  d i o t", "i\td\ti\to\tt", "an i\nd\ni\no\nt", "i d 1 o t"))
+    assert "and" in r.words("x a n d") and {"moron", "idiot"} <= set(r.words("a m o r o n a n i d i o t"))
+    found = toxicity.Hits(r, {"moron": 1.0, "idiot": 2.0})
+    assert found("you a m o r o n")[0] == 1.0 and found("a m o r o n a n i d i o t")[:2] == (3.0, 2.0) and found("1 2 3 4") == (0.0, 0.0, 0.0)
+
+
 def test_quality(spark):
     texts = [("plain words in a sentence. " * (3 + i % 5)) + str(i) for i in range(150)] + ["junk*** of### signs$$$ " * (3 + i % 5) + str(i) for i in range(50)] + [None, ""]
     labels = spark.createDataFrame([(i, int(i < 150)) for i in range(200)], "doc_id long, quality int")
