@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without lines that come after a similar one, and without documents that are little else; n_chars follows the text."""
-    kept = dedup_lines(docs, Scratch(spark, "lines"), min_words=1)
+    """docs without lines that come after a similar one; a document goes only if no word is left. n_chars follows the text."""
+    kept = dedup_lines(docs, Scratch(spark, "lines"), min_words=1, drop_share=1.0)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
+from pyspark.sql import functions as F
+
 from skyledger.llm.components import connected_components
 from skyledger.llm.jaccard import jaccard_groups, keep_one_of_each_group
 from skyledger.llm.lines import MARK, dedup_lines, removed_line_lists
@@ -89,6 +92,13 @@ def test_kept_rows_against_brute_force(spark):
     assert sum(c for t, c in kept.items() if t not in of) == sum(n == 0 for n, _ in group)
 
 
+def test_line_stage_keeps_what_is_left(spark):
+    line = "the quick brown fox jumps over it"
+    docs = table(spark, [line, f"{line}\nonly here", f"{line}\n \n{line}", "only here", None, ""]).withColumn("n_chars", F.lit(0))
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {0: (line, len(line)), 1: ("only here", 9), 4: (None, None), 5: ("", 0)}
+
+
 def test_components(spark):
     s = Scratch(spark, "t")
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
