@@ -94,10 +94,11 @@ def run_ends(word: str) -> list[int]:
     return ends
 
 
-def arcs(word: str, at: int, end: int) -> list[tuple[int, str, float]]:
+def arcs(word: str, at: int, end: int, parted: bool = False) -> list[tuple[int, str, float]]:
     """Ways on from a place in a run that ends at end: (next place, letters read, log-probability of the channel).
 
     A blank in a spaced run parts letters or words: both readings cost the same, the source model tells them apart.
+    So does a separator if the word may be several (parted).
     """
     ch = word[at]
     if ch == " ":
@@ -112,6 +113,8 @@ def arcs(word: str, at: int, end: int) -> list[tuple[int, str, float]]:
     out += [(end, c, LEET_COST) for c in LEET.get(ch, "")]
     if ch in SEPARATORS:
         out.append((end, "", SEPARATOR_COST))
+        if parted:
+            out.append((end, " ", SEPARATOR_COST))
     if ch == "*":
         out += [(at + 1, c, MASK_COST) for c in LETTERS]
     return out
@@ -137,7 +140,7 @@ def earlier(a: tuple, b: tuple) -> bool:
     return reading(a, x) < reading(b, x)
 
 
-def viterbi(word: str, model: CharModel) -> str:
+def viterbi(word: str, model: CharModel, parted: bool = False) -> str:
     """The likeliest reading; of equally likely ones the first in alphabetical order. Time is linear in the length."""
     logp, ends = model.logp, run_ends(word)
     root = (None, "", -1)
@@ -146,7 +149,7 @@ def viterbi(word: str, model: CharModel) -> str:
     for at in range(len(word)):
         if not states[at]:
             continue
-        ways = arcs(word, at, ends[at])
+        ways = arcs(word, at, ends[at], parted)
         for (a, b), (score, path) in states[at].items():
             for end, read, cost in ways:
                 x, y, s = a, b, score + cost
@@ -168,7 +171,7 @@ class Restorer:
     """Restored words of texts; one search per different odd word, kept in a cache of bounded size.
 
     Words of plain letters have a lattice of one path and are taken as they are, in lower case. Odd words over MAX_WORD
-    characters (addresses, rows of signs) have no reading as one word: they are cut at their signs.
+    characters (addresses, rows of signs) may be several: separators can end a word there, and what stands between signs counts too.
     """
 
     def __init__(self, model: CharModel):
@@ -179,12 +182,12 @@ class Restorer:
             return self.run(token)
         if token.isalpha() or (token[:-1].isalpha() and token[-1] in ".,"):
             w = token.lower() if token[-1] not in ".," else token[:-1].lower()
-            return w if not TRIPLE.search(w) else viterbi(w, self.model) if len(w) <= MAX_WORD else w
+            return w if not TRIPLE.search(w) else viterbi(w, self.model)
         w = EDGE.sub("", EDGE.sub("", token.lower()))
         if not ODD.search(w):
             return w
         if len(w) > MAX_WORD:
-            return " ".join(re.findall(r"[^\W\d_]+", w))
+            return " ".join(dict.fromkeys([*re.findall(r"[^\W\d_]+", w), *viterbi(w, self.model, parted=True).split()]))
         return viterbi(w, self.model)
 
     def tokens(self, text: str) -> list[str]:

@@ -169,6 +169,14 @@ def test_spaced_words(spark):
     assert found("you a m o r o n")[0] == 1.0 and found("a m o r o n a n i d i o t")[:2] == (3.0, 2.0) and found("1 2 3 4") == (0.0, 0.0, 0.0)
 
 
+def test_long_words(spark):
+    r = restorer()
+    assert r.words("idi" + "o" * 60 + "t") == ["idiot"] and "moron" in r.words("m" + "o" * 100_000 + "ron!!")
+    assert "moron" in r.words("m.0.r.0.n" + "." * 60 + "house") and any(w.startswith("idiot") for w in r.words("-".join("idiot") + "_" * 50 + "hello"))
+    assert {"http", "moron", "idiot"} <= set(r.words("http://moron.idiot/" + "you/are/" * 8))
+    assert r.words("aid" * 20) == ["aid" * 20]
+
+
 def test_quality(spark):
     texts = [("plain words in a sentence. " * (3 + i % 5)) + str(i) for i in range(150)] + ["junk*** of### signs$$$ " * (3 + i % 5) + str(i) for i in range(50)] + [None, ""]
     labels = spark.createDataFrame([(i, int(i < 150)) for i in range(200)], "doc_id long, quality int")
