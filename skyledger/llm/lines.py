@@ -27,14 +27,14 @@ def _word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return *K.distinct_by_unit(counts, h), per_text
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches of at most SLICE rows and about SLICE_BYTES of text; a longer text is one of its own."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and about so many bytes of text; a longer text is one of its own."""
     for whole in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < whole.num_rows:
-            fits = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right"))
-            to = min(max(fits, at + 1), at + SLICE)
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+            to = min(max(fits, at + 1), at + rows)
             yield whole.slice(at, to - at)
             at = to
 
@@ -69,7 +69,7 @@ class LineJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(COUNTERS, np.int64)
             empty = None
-            for b in _slices(batches):
+            for b in slices(batches):
                 unit, words, n, per_text = _word_sets(b.column(1).to_pylist())
                 total += np.bincount((words >> K.U(46)).astype(np.int64), minlength=COUNTERS)
                 doc = np.repeat(np.arange(len(per_text)), per_text)
@@ -97,7 +97,7 @@ class LineJoin:
             chosen_by = np.argsort(counters, kind="stable").astype(K.U)
             place[chosen_by] = np.arange(COUNTERS, dtype=K.U)
             rest = K.U(2**46 - 1)
-            for b in _slices(batches):
+            for b in slices(batches):
                 h, counts, _ = K.split_lines([K.to_bytes(t) for t in b.column(1).to_pylist()])
                 unit, ranked, n = K.distinct_by_unit(counts, (place[h >> K.U(46)] << K.U(46)) | (h & rest))
                 words = (chosen_by[ranked >> K.U(46)] << K.U(46)) | (ranked & rest)
@@ -131,7 +131,7 @@ class LineJoin:
         rows = self.docs.join(lines, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select("t", "lines")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches, 0):
+            for b in slices(batches, 0):
                 chosen: list[bytes] = []
                 for t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     every = K.to_bytes(t).split(b"\n")

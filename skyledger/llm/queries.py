@@ -56,7 +56,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary(PIECES), k=2, with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary(PIECES), k=2)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

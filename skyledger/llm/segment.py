@@ -5,6 +5,9 @@ mass is the product of the pieces before and of what the sampled piece leaves. I
 members, drawn at once: Gumbel(log mass), held under the score of the node that it was split from. The node of the highest
 score is opened first; its best member is a draw from its members (so it is a new segmentation), and the rest of the node falls
 apart into one node for each later piece. Members come out by falling score: a sample without replacement.
+
+Arrays hold a slice of texts at once: the lattices of its different units, then one walk for all texts per draw. Random
+numbers are hashes of (seed, key and text; draw; unit; step), so a segmentation does not depend on what else is in the slice.
 """
 
 from __future__ import annotations
@@ -19,116 +22,192 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+from .lines import slices
+
 BAR = "▁"
-CACHE_UNITS = 100_000
-_MODELS: dict[tuple[str, float], "Lattices"] = {}
+#: Texts of a slice: so many rows or bytes, whichever comes first; a longer text is one of its own.
+SLICE_ROWS, SLICE_TEXT = 2000, 2 * 2**20
+WORD = 2**64 - 1
+_MODELS: dict[tuple[str, float], "Pieces"] = {}
 
 
-class Lattices:
-    """Lattices of units (a run of bars and what follows up to the next bar): no piece reaches over the start of a unit.
+class Ragged:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, rows: list, dtype):
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.array([x for r in rows for x in r], dtype)
+
+    def extended(self, rows: list) -> Ragged:
+        more, out = Ragged(rows, self.flat.dtype), Ragged([], self.flat.dtype)
+        out.size, out.flat = np.concatenate([self.size, more.size]), np.concatenate([self.flat, more.flat])
+        out.at = np.concatenate([self.at, more.at + len(self.flat)])
+        return out
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen rows one after another, and their lengths."""
+        size = self.size[rows]
+        if len(rows) == int(size.sum()) and (size == 1).all():
+            return self.flat[self.at[rows]], size
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.at[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+class Pieces:
+    """Pieces of a model and a trie of them.
 
     The pieces' log-probabilities follow Zipf's law by rank in the vocabulary file, -power * log(rank + 1): the file's
     tokenizer was made by merges and has ranks only. A character that no piece holds is its UTF-8 byte pieces.
-    state: (unit, place); each has an edge per piece, with the probability that a segmentation goes on by it.
     """
 
     def __init__(self, path: str, power: float):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[int, float]] = {}
-        self.bytes = {}
-        rank = 0
+        known, ids, self.bytes = [], [], {}
         for i in range(sp.vocab_size()):
             if sp.is_byte(i):
                 self.bytes[int(sp.id_to_piece(i)[1:-1], 16)] = i
             elif not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i)):
-                rank += 1
-                self.pieces[sp.id_to_piece(i)] = (i, -power * math.log(rank + 1))
-        self.byte_cost = -power * math.log(rank + 2)
-        if any(BAR in p.lstrip(BAR) for p in self.pieces):
+                known.append(sp.id_to_piece(i))
+                ids.append(i)
+        if any(BAR in p.lstrip(BAR) for p in known):
             raise ValueError("a piece reaches over a word boundary")
-        self.longest = max(map(len, self.pieces))
+        self.cost = -power * np.log(np.arange(2, len(known) + 2))
+        self.byte_cost = -power * math.log(len(known) + 2)
+        self.longest = max(map(len, known))
         # a character that only single pieces or bytes can stand for parts units too
-        joined = set("".join(p for p in self.pieces if len(p) > 1))
+        joined = set("".join(p for p in known if len(p) > 1))
         self.units = re.compile(f"{BAR}*[^{BAR}\\n]+|{BAR}+|\\n" if "\n" not in joined else f"{BAR}*[^{BAR}]+|{BAR}+")
-        self.heads = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
-        self.text = {i: p for p, (i, _) in self.pieces.items()}
-        self.byte = {i: b for b, i in self.bytes.items()}
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}  # unit -> first state
-        self.first: list[int] = []  # state -> its first edge
-        self.degree: list[int] = []
-        self.prob: list[float] = []
-        self.target: list[int] = []  # edge -> state, -1 at the end of the unit
-        self.ids: list[bytes] = []
-        self.logp: list[float] = []
-        self.frozen = -1
-
-    def add(self, unit: str) -> int:
-        n = len(unit)
-        edges: list[list[tuple[int, bytes, float]]] = []
-        pieces, longest, heads = self.pieces, self.longest, self.heads
-        for at in range(n):
-            out = []
-            for end in range(at + 1, min(n, at + longest) + 1):
-                part = unit[at:end]
-                if part not in heads:
-                    break
-                p = pieces.get(part)
-                if p:
-                    out.append((end, p[0].to_bytes(4, "little"), p[1]))
-            if not out or out[0][0] != at + 1:
-                raw = unit[at].encode("utf-8", "replace")
-                out.insert(0, (at + 1, b"".join(self.bytes[b].to_bytes(4, "little") for b in raw), self.byte_cost * len(raw)))
-            edges.append(out)
-        beta = [0.0] * (n + 1)
-        base = len(self.first)
-        for at in range(n - 1, -1, -1):
-            s = [w + beta[end] for end, _, w in edges[at]]
-            m = max(s)
-            beta[at] = m + math.log(sum(math.exp(x - m) for x in s))
-        for at, out in enumerate(edges):
-            self.first.append(len(self.prob))
-            self.degree.append(len(out))
-            for end, ids, w in out:
-                self.prob.append(math.exp(w + beta[end] - beta[at]))
-                self.target.append(base + end if end < n else -1)
-                self.ids.append(ids)
-                self.logp.append(w + beta[end] - beta[at])
-        self.known[unit] = base
-        return base
-
-    def freeze(self) -> None:
-        """Arrays of what was added; cumulative probabilities count on over all edges, so that one search finds an edge of any state."""
-        if self.frozen != len(self.first):
-            self.a_first, self.a_degree = np.array(self.first, np.int64), np.array(self.degree, np.int64)
-            self.a_prob, self.a_target, self.a_logp = np.array(self.prob), np.array(self.target, np.int64), np.array(self.logp)
-            self.a_upto = np.concatenate([[0.0], np.cumsum(self.a_prob)])
-            self.frozen = len(self.first)
-
-    def walk(self, starts: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Draws a path from each state to the end of its unit, all at once: for each step, which of starts go on and by what edge."""
-        steps = []
+        self.ids = Ragged([[i] for i in ids], np.uint32)
+        self.text = Ragged([p.replace(BAR, " ").encode() for p in known], np.uint8)
+        self.alphabet = np.array(sorted({ord(c) for p in known for c in p}), np.int64)
+        place = {chr(c): i for i, c in enumerate(self.alphabet.tolist())}
+        nodes, edges = {"": 0}, {}
+        self.width = len(place)
+        for p in known:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in nodes:
+                    nodes[p[:n]] = len(nodes)
+                    edges[nodes[p[: n - 1]] * self.width + place[p[n - 1]]] = nodes[p[:n]]
+        self.moves = np.array(sorted(edges), np.int64)
+        self.reach = np.array([edges[m] for m in self.moves.tolist()], np.int64)
+        self.piece = np.full(len(nodes), -1, np.int64)
+        self.piece[[nodes[p] for p in known]] = np.arange(len(known))
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next node of the trie, or -1."""
+        move = node * self.width + char
+        at = np.minimum(np.searchsorted(self.moves, move), len(self.moves) - 1)
+        return np.where((char >= 0) & (self.moves[at] == move), self.reach[at], -1)
+
+
+class Lattices:
+    """Lattices of units (a run of bars and what follows up to the next bar): no piece reaches over the start of a unit.
+
+    A state is a place in a unit; states stand in the order of what is left of their units. Each has an edge per piece, with
+    the probability that a segmentation goes on by it. target: the state that an edge leads to, -1 at the end of the unit.
+    """
+
+    def __init__(self, model: Pieces, units: list[str]):
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(u) for u in units], np.int64)
+        begin = np.cumsum(length) - length
+        left = np.repeat(begin + length, length) - np.arange(len(codes))
+        at = np.minimum(np.searchsorted(model.alphabet, codes), len(model.alphabet) - 1)
+        char = np.where(model.alphabet[at] == codes, at, -1) if len(codes) else codes
+        alive = np.arange(len(codes))
+        node = model.step(np.zeros(len(codes), np.int64), char)
+        found = []
+        single = np.zeros(len(codes), bool)
+        for size in range(1, model.longest + 1):
+            there = node >= 0
+            alive, node = alive[there], node[there]
+            if not len(alive):
+                break
+            piece = model.piece[node]
+            hit = piece >= 0
+            found.append((alive[hit], np.full(int(hit.sum()), size), piece[hit]))
+            if size == 1:
+                single[alive[hit]] = True
+            on = left[alive] > size
+            alive, node = alive[on], node[on]
+            node = model.step(node, char[alive + size])
+        odd = np.flatnonzero(~single)
+        rare, which = np.unique(codes[odd], return_inverse=True)
+        spelt = [chr(c).encode("utf-8", "replace") for c in rare.tolist()]
+        self.ids = model.ids.extended([[model.bytes[b] for b in s] for s in spelt])
+        self.text = model.text.extended(spelt)
+        cost = np.concatenate([model.cost, [model.byte_cost * len(s) for s in spelt]])
+        found.append((odd, np.ones(len(odd), np.int64), which.astype(np.int64) + len(model.cost)))
+        pos, size, piece = (np.concatenate([f[i] for f in found]) for i in range(3))
+
+        state = np.empty(len(codes), np.int64)
+        by_left = np.argsort(left, kind="stable")
+        state[by_left] = np.arange(len(codes))
+        order = np.argsort(state[pos] * (model.longest + 1) + size, kind="stable")
+        pos, size, self.piece = pos[order], size[order], piece[order]
+        self.of = state[pos]
+        self.degree = np.bincount(self.of, minlength=len(codes))
+        self.first = np.cumsum(self.degree) - self.degree
+        self.target = np.where(left[pos] == size, -1, state[np.minimum(pos + size, max(0, len(codes) - 1))])
+        self.start = state[begin] if len(codes) else begin
+        weight = cost[self.piece]
+        # beta: the logarithm of what all ways from a state to the end of its unit sum to; the last entry is the end
+        beta = np.zeros(len(codes) + 1)
+        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        self.logp = np.empty(len(pos))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            e0 = self.first[lo]
+            e1 = self.first[hi - 1] + self.degree[hi - 1]
+            s = weight[e0:e1] + beta[self.target[e0:e1]]
+            heads, d = self.first[lo:hi] - e0, self.degree[lo:hi]
+            top = np.maximum.reduceat(s, heads)
+            beta[lo:hi] = total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, d)), heads))
+            self.logp[e0:e1] = s - np.repeat(total, d)
+        self.prob = np.exp(self.logp)
+        before, after = np.zeros(len(pos)), np.zeros(len(pos))
+        last = self.first + self.degree - 1
+        for j in range(1, int(self.degree.max(initial=1))):
+            more = self.degree > j
+            i = self.first[more] + j
+            before[i] = before[i - 1] + self.prob[i - 1]
+            i = last[more] - j
+            after[i] = after[i + 1] + self.prob[i + 1]
+        self.upto, self.other = before + self.prob, before + after
+
+    def walk(self, starts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draws a path from each state to the end of its unit, all at once; marks: what a path's random numbers are hashed from.
+
+        The edges by start and step, and how many each start has; a start of -1 has none.
+        """
         who = np.flatnonzero(starts >= 0)
-        state = starts[who]
+        state, steps, count = starts[who], [], np.zeros(len(starts), np.int64)
         while len(who):
-            low = self.a_first[state]
-            high = low + self.a_degree[state]
-            u = self.a_upto[low] + rng.random(len(who)) * (self.a_upto[high] - self.a_upto[low])
-            edge = np.clip(np.searchsorted(self.a_upto, u, side="right") - 1, low, high - 1)
+            r = uniform(marks[who] + K.U(len(steps) * 0x9E3779B97F4A7C15 & WORD))
+            edge = self.first[state]
+            last = edge + self.degree[state] - 1
+            on = np.flatnonzero((r >= self.upto[edge]) & (edge < last))
+            while len(on):
+                edge[on] += 1
+                on = on[(r[on] >= self.upto[edge[on]]) & (edge[on] < last[on])]
+            count[who] += 1
             steps.append((who, edge))
-            state = self.a_target[edge]
-            on = state >= 0
-            who, state = who[on], state[on]
-        return steps
+            state = self.target[edge]
+            ahead = state >= 0
+            who, state = who[ahead], state[ahead]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for n, (who, edge) in enumerate(steps):
+            out[begin[who] + n] = edge
+        return out, count
 
 
-def lattices(path: str, power: float) -> Lattices:
+def pieces(path: str, power: float) -> Pieces:
     if (path, power) not in _MODELS:
-        _MODELS[path, power] = Lattices(path, power)
+        _MODELS[path, power] = Pieces(path, power)
     return _MODELS[path, power]
 
 
@@ -137,91 +216,106 @@ def normalize(text: str | None) -> str:
     return BAR + text.replace(" ", BAR) if text else ""
 
 
-def decode_ids(ids: bytes, lat: Lattices) -> str:
-    """The text of little-endian 32-bit ids."""
-    out = bytearray()
-    for i in np.frombuffer(ids, "<u4").tolist():
-        out += bytes([lat.byte[i]]) if i in lat.byte else lat.text[i].encode("utf-8")
-    text = out.decode("utf-8", "replace").replace(BAR, " ")
-    return text[1:] if text[:1] == " " else text
+def uniform(marks: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 (neither is one of them) out of 64-bit marks."""
+    return ((K.mix(marks) >> K.U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _in_order(steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Edges by unit, then by step."""
-    if not steps:
-        return np.zeros(0, np.int64)
-    who = np.concatenate([w for w, _ in steps])
-    return np.concatenate([e for _, e in steps])[np.argsort(who, kind="stable")]
+def _mark(seed: int, *parts: int) -> int:
+    """A 64-bit number out of a seed and small numbers (K.mix, on plain integers)."""
+    for p in parts:
+        seed = (seed + (p + 1) * 0xD6E8FEB86659FD93) & WORD
+        seed = (seed ^ (seed >> 30)) * 0xBF58476D1CE4E5B9 & WORD
+        seed = (seed ^ (seed >> 27)) * 0x94D049BB133111EB & WORD
+        seed ^= seed >> 31
+    return seed
 
 
-def _under(loc: np.ndarray | float, top: float, rng: np.random.Generator, size=None):
-    """Gumbel(loc), given that it is below top."""
-    e = rng.exponential(size=size)
-    # exp(-g) is exponential with rate exp(loc), over exp(-top)
-    return -np.logaddexp(-top, np.log(e) - loc)
+def _under(loc, top: float, r):
+    """Gumbel(loc), given that it is below top: exp(-g) is exponential with rate exp(loc), over exp(-top)."""
+    return -np.logaddexp(-top, np.log(-np.log(r)) - loc)
 
 
-def sample_text(text: str | None, lat: Lattices, k: int, seed: int) -> list[tuple[bytes, float, float]]:
-    """Up to k different segmentations of a text: (ids, log-probability, perturbed score), by falling score.
+class Draws:
+    """k segmentations or fewer of each text of a slice, and the score of the first one left out.
+
+    found[i]: (score, logp, edges) by falling score; threshold[i]: the next score, None if the text has no further segmentation.
+    """
+
+    def __init__(self, texts: list[str | None], seeds: list[int], model: Pieces, k: int):
+        cut = [model.units.findall(normalize(t)) for t in texts]
+        number: dict[str, int] = {}
+        named = [number.setdefault(u, len(number)) for units in cut for u in units]
+        self.lat = lat = Lattices(model, list(number))
+        starts = lat.start[np.array(named, np.int64)] if named else np.zeros(0, np.int64)
+        ends = np.cumsum([len(u) for u in cut])
+        self.starts = [starts[e - len(u) : e] for u, e in zip(cut, ends.tolist())]
+        self.seeds, self.k = seeds, k
+        self.found: list[list] = [[] for _ in texts]
+        # a node: score, path that it was split from, place in it, edges that are spent there; what opens first has no path
+        self.nodes: list[list] = [[(float(-np.log(-np.log(uniform(np.array([s], K.U))[0]))), None, 0, ())] for s in seeds]
+        for turn in range(k):
+            self._draw(turn)
+        self.threshold = [max((n[0] for n in nodes), default=None) for nodes in self.nodes]
+
+    def _draw(self, turn: int) -> None:
+        lat, opened, starts, marks = self.lat, [], [], []
+        for i, nodes in enumerate(self.nodes):
+            if not nodes:
+                continue
+            best = max(range(len(nodes)), key=lambda j: nodes[j][0])
+            top, source, place, spent = nodes.pop(best)
+            seed = _mark(self.seeds[i], turn, 1)
+            if source is None:
+                head, unit, todo = np.zeros(0, np.int64), 0, self.starts[i]
+            else:
+                path, unit_of = source
+                state = lat.of[path[place]]
+                free = [e for e in range(int(lat.first[state]), int(lat.first[state] + lat.degree[state])) if e not in spent]
+                p = lat.prob[free]
+                r, r2 = uniform(np.array([_mark(seed, 1), _mark(seed, 2)], K.U))
+                edge = free[min(int(np.searchsorted(np.cumsum(p), r * p.sum(), side="right")), len(free) - 1)]
+                rest = [e for e in free if e != edge]
+                left = float(lat.prob[rest].sum())
+                if left > 0:
+                    loc = float(lat.logp[path[:place]].sum()) + math.log(left)
+                    nodes.append((float(_under(loc, top, r2)), source, place, (*spent, edge)))
+                head, unit = np.append(path[:place], edge), int(unit_of[place])
+                todo = np.append(lat.target[edge], self.starts[i][unit + 1 :])
+            opened.append((i, top, head, unit, source, place, len(todo), seed))
+            starts.append(todo)
+            marks.append(K.mix(K.U(seed) + np.arange(unit, unit + len(todo), dtype=K.U) * K.U(0xA0761D6478BD642F)))
+        if not opened:
+            return
+        tails, counts = lat.walk(np.concatenate(starts), np.concatenate(marks))
+        steps = np.concatenate([[0], np.cumsum(counts)])
+        at = 0
+        for i, top, head, unit, source, place, n, seed in opened:
+            path = np.concatenate([head, tails[steps[at] : steps[at + n]]])
+            units = np.repeat(np.arange(unit, unit + n, dtype=np.int32), counts[at : at + n])
+            at += n
+            if source is not None:
+                units = np.concatenate([source[1][:place], np.array([unit], np.int32), units])
+            logs = lat.logp[path]
+            self.found[i].append((top, float(logs.sum()), path))
+            later = np.flatnonzero(lat.other[path[len(head) :]] > 0) + len(head)
+            if len(later):
+                loc = (np.cumsum(logs) - logs)[later] + np.log(lat.other[path[later]])
+                score = _under(loc, top, uniform(K.mix(K.U(_mark(seed, 3)) + later.astype(K.U) * K.U(0xE7037ED1A0B428DB))))
+                # the best of them, as many as are drawn yet and the first one left out
+                some = self.k - turn
+                for j in np.argpartition(-score, some - 1)[:some] if len(later) > some else range(len(later)):
+                    where = int(later[j])
+                    self.nodes[i].append((float(score[j]), (path, units), where, (int(path[where]),)))
+
+
+def sample_text(text: str | None, model: Pieces, k: int, seed: int) -> list[tuple[bytes, float, float]]:
+    """Up to k different segmentations of a text: (little-endian 32-bit ids, log-probability, perturbed score), by falling score.
 
     A text with fewer segmentations has all of them; an empty one has one, without pieces.
     """
-    units = lat.units.findall(normalize(text))
-    starts = np.array([lat.known[u] if u in lat.known else lat.add(u) for u in units], np.int64)
-    lat.freeze()
-    rng = np.random.Generator(np.random.SFC64(seed))
-    # a node: score, path before its place, edges at the place that are spent, place; the root has no place
-    nodes: list[tuple] = [(float(rng.gumbel()), None, (), -1, 0.0)]
-    out: list[tuple[bytes, float, float]] = []
-    while nodes and len(out) < k:
-        best = max(range(len(nodes)), key=lambda i: nodes[i][0])
-        top, before, spent, place, mass = nodes.pop(best)
-        if before is None:
-            path, unit_of = _all_edges(lat, starts, rng)
-            first = 0
-        else:
-            old, old_units = before
-            state = _state_of(lat, old[place])
-            lo, hi = int(lat.a_first[state]), int(lat.a_first[state] + lat.a_degree[state])
-            free = [e for e in range(lo, hi) if e not in spent]
-            p = lat.a_prob[free]
-            edge = free[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(free) - 1)]
-            left = mass_left = float(max(p.sum() - lat.a_prob[edge], 0.0))
-            if len(free) > 1 and left > 0:
-                above = float(lat.a_logp[old[:place]].sum())
-                loc = above + math.log(mass_left)
-                nodes.append((float(_under(loc, top, rng)), before, (*spent, edge), place, loc))
-            # the unit's rest from the new edge on, then the later units afresh
-            unit = int(old_units[place])
-            rest = np.concatenate([[lat.a_target[edge]], starts[unit + 1 :]]).astype(np.int64)
-            steps = lat.walk(rest, rng)
-            tail = _in_order(steps)
-            tail_units = np.sort(np.concatenate([w for w, _ in steps])) + unit if steps else np.zeros(0, np.int64)
-            path, unit_of = np.concatenate([old[:place], [edge], tail]).astype(np.int64), np.concatenate([old_units[:place], [unit], tail_units]).astype(np.int64)
-            first = place + 1
-        logs = lat.a_logp[path]
-        out.append((b"".join([lat.ids[e] for e in path.tolist()]), float(logs.sum()), top))
-        if len(out) < k and len(path) > first:
-            ahead = np.cumsum(logs) - logs
-            other = np.maximum(1 - lat.a_prob[path], 0.0)
-            several = other[first:] > 1e-15
-            at = np.flatnonzero(several) + first
-            if len(at):
-                loc = ahead[at] + np.log(other[at])
-                scores = _under(loc, top, rng, len(at))
-                # only the k best of them can be opened
-                for i in np.argsort(-scores)[: k - len(out)]:
-                    nodes.append((float(scores[i]), (path, unit_of), (int(path[at[i]]),), int(at[i]), float(loc[i])))
-    return out
-
-
-def _state_of(lat: Lattices, edge: int) -> int:
-    return int(np.searchsorted(lat.a_first, edge, side="right") - 1)
-
-
-def _all_edges(lat: Lattices, starts: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    steps = lat.walk(starts, rng)
-    return _in_order(steps), np.sort(np.concatenate([w for w, _ in steps])) if steps else np.zeros(0, np.int64)
+    draws = Draws([text], [seed], model, k)
+    return [(draws.lat.ids.take(draws.lat.piece[path])[0].astype("<u4").tobytes(), logp, score) for score, logp, path in draws.found[0]]
 
 
 def inclusion(logp: float, threshold: float | None) -> float:
@@ -229,40 +323,36 @@ def inclusion(logp: float, threshold: float | None) -> float:
     return 1.0 if threshold is None else -math.expm1(-math.exp(min(50.0, logp - threshold)))
 
 
-def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 0, power: float = 1.0, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """(key, rank, n_pieces, log_prob, perturbed, inclusion, round_trip, ids_crc32[, ids]): k rows per row of df, or fewer.
+def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 0, power: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rank, n_pieces, log_prob, perturbed, inclusion, round_trip, ids_crc32, ids): k rows per row of df, or fewer.
 
     rank counts from 0 by falling perturbed score; inclusion: the probability that the segmentation is in the sample, given
-    the score of the first one left out, for weights 1 / inclusion; round_trip: its ids decode to the text. The draw
-    depends on seed, key and text alone: a task that runs again draws the same. A null text is empty, and has one segmentation without pieces.
+    the score of the first one left out, for weights 1 / inclusion; round_trip: its ids decode to the text; ids: little-endian
+    unsigned 32-bit numbers. The draw depends on seed, key and text alone: a task that runs again draws the same, and rows that
+    repeat a key and a text have the same draws. A null text is empty, and has one segmentation without pieces; a null key
+    is one more key; other columns are not read. An empty table gives none.
     """
-    extra = ", ids binary" if with_ids else ""
-    kind = df.schema[key].dataType.simpleString()
-    names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()] + [pa.binary()] * with_ids
+    names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids_crc32", "ids"]
+    types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lat = lattices(path, power)
-            for first in range(0, whole.num_rows, 500):
-                b = whole.slice(first, 500)
-                at, rows = [], []
-                texts = b.column(1).to_pylist()
-                for t in texts:  # add all units before arrays are made of them
-                    for u in lat.units.findall(normalize(t)):
-                        if u not in lat.known:
-                            lat.add(u)
-                for i, (name, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
-                    mark = xxhash.xxh64_intdigest(f"{seed} {name} {zlib.crc32((t or '').encode('utf-8', 'replace'))}")
-                    got = sample_text(t, lat, k + 1, mark)
-                    threshold = got[k][2] if len(got) > k else None
-                    for r, (ids, logp, score) in enumerate(got[:k]):
-                        at.append(i)
-                        rows.append([r, len(ids) // 4, logp, score, inclusion(logp, threshold), decode_ids(ids, lat) == (t or ""), zlib.crc32(ids)] + [ids] * with_ids)
-                if len(lat.known) > CACHE_UNITS:
-                    lat.reset()
-                made = [pa.array([r[j] for r in rows], x) for j, x in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *made], names)
-
-    fields = "rank int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids_crc32 long"
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, {fields}{extra}")
+        model = pieces(path, power)
+        for b in slices(batches, 1, SLICE_ROWS, SLICE_TEXT):
+            texts = b.column(1).to_pylist()
+            raw = [(" " + t).encode("utf-8", "replace") if t else b"" for t in texts]
+            seeds = [xxhash.xxh64_intdigest(f"{seed} {name} {zlib.crc32(t[1:])}") for name, t in zip(b.column(0).to_pylist(), raw)]
+            draws = Draws(texts, seeds, model, k)
+            lat, at, rows = draws.lat, [], []
+            for i, found in enumerate(draws.found):
+                for rank, (score, logp, path_) in enumerate(found):
+                    piece = lat.piece[path_]
+                    ids = lat.ids.take(piece)[0].tobytes()
+                    back = lat.text.take(piece)[0].tobytes() == raw[i]
+                    at.append(i)
+                    rows.append((rank, len(ids) // 4, logp, score, inclusion(logp, draws.threshold[i]), back, zlib.crc32(ids), ids))
+            columns = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, x) for c, x in zip(columns, types)]], names)
+
+    kind = df.schema[key].dataType.simpleString()
+    fields = "rank int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids_crc32 long, ids binary"
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {fields}")

@@ -107,12 +107,33 @@ def test_segmentation(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     assert all(r.round_trip and 0 < r.inclusion <= 1 for r in rows)
     assert len({(r.doc_id, r.ids) for r in rows}) == len(rows) and all(r.n_pieces == 0 for r in rows if r.doc_id in (1, 2))
-    lat = segment.lattices(path, 1.0)
+    lat = segment.pieces(path, 1.0)
     all_ = segment.sample_text("the", lat, 1000, 3)
     assert abs(sum(math.exp(x[1]) for x in all_) - 1) < 1e-9 and [x[2] for x in all_] == sorted((x[2] for x in all_), reverse=True)
-    first = Counter(segment.sample_text("the", lat, 1, s)[0][0] for s in range(3000))
-    for ids, logp, _ in all_:
-        assert abs(first[ids] / 3000 - math.exp(logp)) < 0.04
+    first = Counter(segment.sample_text("the", lat, 1, s * 2**40 + 7)[0][0] for s in range(3000))
+    chance = {ids: math.exp(logp) for ids, logp, _ in all_}
+    assert all(abs(first[ids] / 3000 - p) < 0.04 for ids, p in chance.items())
+    # the second draw, given the first: without replacement
+    pairs = Counter(tuple(x[0] for x in segment.sample_text("the", lat, 2, s * 2**40 + 11)) for s in range(3000))
+    assert all(abs(n / 3000 - chance[a] * chance[b] / (1 - chance[a])) < 0.04 for (a, b), n in pairs.items())
+    # ids, pieces and probabilities by a plain enumeration of the lattice
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rank = {}
+    for i in range(sp.vocab_size()):
+        if not (sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i)):
+            rank[sp.id_to_piece(i)] = (i, len(rank))
+
+    def ways(rest):
+        return [((), 0.0)] if not rest else [((rank[rest[:n]][0], *ids), w - math.log(rank[rest[:n]][1] + 2)) for n in range(1, len(rest) + 1) if rest[:n] in rank for ids, w in ways(rest[n:])]
+
+    plain = {struct.pack(f"<{len(ids)}I", *ids): w for ids, w in ways("\u2581the")}
+    total = math.log(sum(map(math.exp, plain.values())))
+    assert plain.keys() == chance.keys() and all(abs(math.exp(w - total) - chance[ids]) < 1e-12 for ids, w in plain.items())
+    edge = segment.sample_segmentations(docs(spark, ["one two", "one two", None], [None, None, None]), path).collect()
+    assert len(edge) == 5 and len({(r.rank, r.ids) for r in edge}) == 3 and all(r.doc_id is None for r in edge)
+    assert segment.sample_segmentations(docs(spark, []), path).count() == 0
 
 
 def test_top_k(spark):
