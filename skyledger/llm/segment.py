@@ -16,6 +16,8 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from .lines import slices
 
 BAR = "▁"
 #: Texts of a slice: so many rows or bytes, whichever comes first; a longer text is one of its own.
-SLICE_ROWS, SLICE_TEXT = 2000, 2 * 2**20
+SLICE_ROWS, SLICE_TEXT = 2000, 2**20
 WORD = 2**64 - 1
+#: Units whose lattices a worker keeps; what else a slice has is built for it.
+BASE_UNITS = 60_000
 _MODELS: dict[tuple[str, float], "Pieces"] = {}
 
 
@@ -46,6 +50,15 @@ class Ragged:
         out.at = np.concatenate([self.at, more.at + len(self.flat)])
         return out
 
+    def followed(self, other: Ragged, start: int) -> Ragged:
+        """These rows and then the other's from start on."""
+        if start == len(other.size):
+            return self
+        out, skipped = Ragged([], self.flat.dtype), int(other.at[start])
+        out.size, out.flat = np.concatenate([self.size, other.size[start:]]), np.concatenate([self.flat, other.flat[skipped:]])
+        out.at = np.concatenate([self.at, other.at[start:] - skipped + len(self.flat)])
+        return out
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen rows one after another, and their lengths."""
         size = self.size[rows]
@@ -75,6 +88,8 @@ class Pieces:
                 ids.append(i)
         if any(BAR in p.lstrip(BAR) for p in known):
             raise ValueError("a piece reaches over a word boundary")
+        self.base: tuple[Lattices, dict[str, int]] | None = None
+        self.buffers: dict[str, np.ndarray] = {}
         self.cost = -power * np.log(np.arange(2, len(known) + 2))
         self.byte_cost = -power * math.log(len(known) + 2)
         self.longest = max(map(len, known))
@@ -92,16 +107,38 @@ class Pieces:
                 if p[:n] not in nodes:
                     nodes[p[:n]] = len(nodes)
                     edges[nodes[p[: n - 1]] * self.width + place[p[n - 1]]] = nodes[p[:n]]
-        self.moves = np.array(sorted(edges), np.int64)
-        self.reach = np.array([edges[m] for m in self.moves.tolist()], np.int64)
+        # moves of the trie in an open hash table, a quarter of it in use at most
+        bits = (4 * len(edges)).bit_length()
+        self.shift, self.mask = K.U(64 - bits), 2**bits - 1
+        self.moves, self.reach = np.full(2**bits, -1, np.int64), np.full(2**bits, -1, np.int64)
+        for move, to in edges.items():
+            at = int(self._slot(np.array([move]))[0])
+            while self.moves[at] >= 0:
+                at = (at + 1) & self.mask
+            self.moves[at], self.reach[at] = move, to
+        self.head = np.full(self.width + 1, -1, np.int64)
+        for c, i in place.items():
+            self.head[i] = nodes.get(c, -1)
         self.piece = np.full(len(nodes), -1, np.int64)
         self.piece[[nodes[p] for p in known]] = np.arange(len(known))
 
+    def _slot(self, move: np.ndarray) -> np.ndarray:
+        return (move.astype(K.U) * K.U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next node of the trie, or -1."""
-        move = node * self.width + char
-        at = np.minimum(np.searchsorted(self.moves, move), len(self.moves) - 1)
-        return np.where((char >= 0) & (self.moves[at] == move), self.reach[at], -1)
+        move = np.where(char >= 0, node * self.width + char, -2)
+        at = self._slot(move)
+        seen = self.moves[at]
+        out = np.where(seen == move, self.reach[at], -1)
+        on = np.flatnonzero((seen != move) & (seen >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & self.mask
+            seen = self.moves[at[on]]
+            hit = seen == move[on]
+            out[on[hit]] = self.reach[at[on[hit]]]
+            on = on[~hit & (seen >= 0)]
+        return out
 
 
 class Lattices:
@@ -118,10 +155,7 @@ class Lattices:
         left = np.repeat(begin + length, length) - np.arange(len(codes))
         at = np.minimum(np.searchsorted(model.alphabet, codes), len(model.alphabet) - 1)
         char = np.where(model.alphabet[at] == codes, at, -1) if len(codes) else codes
-        alive = np.arange(len(codes))
-        node = model.step(np.zeros(len(codes), np.int64), char)
-        found = []
-        single = np.zeros(len(codes), bool)
+        alive, node, found = np.arange(len(codes)), model.head[char], []
         for size in range(1, model.longest + 1):
             there = node >= 0
             alive, node = alive[there], node[there]
@@ -129,36 +163,43 @@ class Lattices:
                 break
             piece = model.piece[node]
             hit = piece >= 0
-            found.append((alive[hit], np.full(int(hit.sum()), size), piece[hit]))
-            if size == 1:
-                single[alive[hit]] = True
+            found.append((alive[hit], size, piece[hit]))
             on = left[alive] > size
             alive, node = alive[on], node[on]
             node = model.step(node, char[alive + size])
+        single = np.zeros(len(codes), bool)
+        single[[x for x in found if x[1] == 1][0][0] if found else []] = True
         odd = np.flatnonzero(~single)
         rare, which = np.unique(codes[odd], return_inverse=True)
         spelt = [chr(c).encode("utf-8", "replace") for c in rare.tolist()]
         self.ids = model.ids.extended([[model.bytes[b] for b in s] for s in spelt])
         self.text = model.text.extended(spelt)
         cost = np.concatenate([model.cost, [model.byte_cost * len(s) for s in spelt]])
-        found.append((odd, np.ones(len(odd), np.int64), which.astype(np.int64) + len(model.cost)))
-        pos, size, piece = (np.concatenate([f[i] for f in found]) for i in range(3))
+        found.insert(0, (odd, 1, which.astype(np.int64) + len(model.cost)))
 
         state = np.empty(len(codes), np.int64)
-        by_left = np.argsort(left, kind="stable")
+        most = int(left.max(initial=0))
+        by_left = np.argsort(left.astype(np.int16) if most < 2**15 else left, kind="stable")
         state[by_left] = np.arange(len(codes))
-        order = np.argsort(state[pos] * (model.longest + 1) + size, kind="stable")
-        pos, size, self.piece = pos[order], size[order], piece[order]
-        self.of = state[pos]
-        self.degree = np.bincount(self.of, minlength=len(codes))
+        self.degree = np.zeros(len(codes), np.int64)
+        for pos, _, _ in found:
+            self.degree[state[pos]] += 1
         self.first = np.cumsum(self.degree) - self.degree
-        self.target = np.where(left[pos] == size, -1, state[np.minimum(pos + size, max(0, len(codes) - 1))])
+        self.of = np.repeat(np.arange(len(codes)), self.degree)
+        self.piece, self.target = np.empty(len(self.of), np.int64), np.empty(len(self.of), np.int64)
+        free = self.first.copy()
+        for pos, size, piece in found:  # the edges of a state come by rising size
+            of = state[pos]
+            at = free[of]
+            free[of] += 1
+            self.piece[at] = piece
+            self.target[at] = np.where(left[pos] == size, -1, state[np.minimum(pos + size, len(codes) - 1)])
         self.start = state[begin] if len(codes) else begin
         weight = cost[self.piece]
         # beta: the logarithm of what all ways from a state to the end of its unit sum to; the last entry is the end
         beta = np.zeros(len(codes) + 1)
-        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        self.logp = np.empty(len(pos))
+        bounds = np.searchsorted(left[by_left], np.arange(1, most + 2))
+        self.logp = np.empty(len(weight))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             e0 = self.first[lo]
             e1 = self.first[hi - 1] + self.degree[hi - 1]
@@ -168,7 +209,7 @@ class Lattices:
             beta[lo:hi] = total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, d)), heads))
             self.logp[e0:e1] = s - np.repeat(total, d)
         self.prob = np.exp(self.logp)
-        before, after = np.zeros(len(pos)), np.zeros(len(pos))
+        before, after = np.zeros(len(weight)), np.zeros(len(weight))
         last = self.first + self.degree - 1
         for j in range(1, int(self.degree.max(initial=1))):
             more = self.degree > j
@@ -178,6 +219,25 @@ class Lattices:
             after[i] = after[i + 1] + self.prob[i + 1]
         self.upto, self.other = before + self.prob, before + after
 
+    def joined(self, other: Lattices, model: Pieces) -> Lattices:
+        """These lattices and then the other's, in the model's buffers: what stood there behind these lattices is overwritten."""
+        out = Lattices.__new__(Lattices)
+        states, edges, known = len(self.degree), len(self.of), len(model.ids.size)
+        out.ids, out.text = self.ids.followed(other.ids, known), self.text.followed(other.text, known)
+        moved = np.where(other.piece >= known, other.piece + len(self.ids.size) - known, other.piece)
+        changed = {"first": other.first + edges, "of": other.of + states, "piece": moved, "target": np.where(other.target < 0, -1, other.target + states), "start": other.start + states}
+        for name in ("degree", "first", "of", "piece", "target", "start", "logp", "prob", "upto", "other"):
+            own, more = getattr(self, name), changed.get(name, getattr(other, name))
+            size = len(own) + len(more)
+            room = model.buffers.get(name)
+            if room is None or len(room) < size:
+                room = np.empty(2 * size, own.dtype)
+                room[: len(own)] = own
+                model.buffers[name] = room
+            room[len(own) : size] = more
+            setattr(out, name, room[:size])
+        return out
+
     def walk(self, starts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each state to the end of its unit, all at once; marks: what a path's random numbers are hashed from.
 
@@ -205,6 +265,24 @@ class Lattices:
         return out, count
 
 
+@contextmanager
+def known_lattices(model: Pieces, units: dict[str, None]) -> Iterator[tuple[Lattices, dict[str, int]]]:
+    """Lattices with all units and the number of each; those of the first BASE_UNITS or so are kept with the model."""
+    if model.base is None:
+        model.base = Lattices(model, []), {}
+    lat, number = model.base
+    new = [u for u in units if u not in number]
+    lat = lat.joined(Lattices(model, new), model)
+    kept = len(number) < BASE_UNITS
+    number.update(zip(new, range(len(number), len(number) + len(new))))
+    if kept:
+        model.base = lat, number
+    yield lat, number
+    if not kept:
+        for u in new:
+            del number[u]
+
+
 def pieces(path: str, power: float) -> Pieces:
     if (path, power) not in _MODELS:
         _MODELS[path, power] = Pieces(path, power)
@@ -237,17 +315,16 @@ def _under(loc, top: float, r):
 
 
 class Draws:
-    """k segmentations or fewer of each text of a slice, and the score of the first one left out.
+    """k segmentations or fewer of each text of a slice, and the score of the first one left out; good until the next slice's.
 
     found[i]: (score, logp, edges) by falling score; threshold[i]: the next score, None if the text has no further segmentation.
     """
 
     def __init__(self, texts: list[str | None], seeds: list[int], model: Pieces, k: int):
         cut = [model.units.findall(normalize(t)) for t in texts]
-        number: dict[str, int] = {}
-        named = [number.setdefault(u, len(number)) for units in cut for u in units]
-        self.lat = lat = Lattices(model, list(number))
-        starts = lat.start[np.array(named, np.int64)] if named else np.zeros(0, np.int64)
+        with known_lattices(model, dict.fromkeys(chain.from_iterable(cut))) as (lat, number):
+            starts = lat.start[np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)]
+        self.lat = lat
         ends = np.cumsum([len(u) for u in cut])
         self.starts = [starts[e - len(u) : e] for u, e in zip(cut, ends.tolist())]
         self.seeds, self.k = seeds, k
