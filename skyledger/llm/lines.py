@@ -19,6 +19,7 @@ SLICE, SLICE_BYTES = 400, 2**20
 #: A prefix word of more classes than this is a crowd: its classes are compared with its earliest first.
 CROWD = 64
 MARK = "_removed_lines"
+SIG = ["sig", "sig2"]
 
 
 def _word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +45,7 @@ class LineJoin:
 
     Lines are what newlines part, in the order of (key, line number); words are lower-cased between blanks. Lines of
     fewer than min_words different words are neither removed nor compared. Lines with one set of words are one class
-    (a 64-bit signature); its first line stands for it, its later lines are copies. A first line is removed if an earlier
+    (a 128-bit signature); its first line stands for it, its later lines are copies. A first line is removed if an earlier
     first line is similar (whether or not that one is removed itself). Rows that repeat a key are ordered by a hash of their texts.
 
     Words are ordered by rarity: by counters of hashed words over all lines' words (a table of COUNTERS numbers), then by hash; any
@@ -63,7 +64,7 @@ class LineJoin:
         self.kind = docs.schema[key].dataType.simpleString()
 
     def occurrences(self) -> DataFrame:
-        """(k, h, line, sig) of the lines that count. Rows with counters have at and count."""
+        """(k, h, line, sig, sig2) of the lines that count. Rows with counters have at and count."""
         least = self.min_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,17 +79,17 @@ class LineJoin:
                 none = pa.nulls(len(at), pa.list_(pa.int64()))
                 empty = b.column(0).slice(0, 0)
                 where = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(2).take(where), pa.array(line[at], pa.int32()), pa.array(_signatures(unit, words, n)[at]), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(2).take(where), pa.array(line[at], pa.int32()), *[pa.array(x[at]) for x in _signatures(unit, words, n)], none, none], names)
             used = np.flatnonzero(total)
             if empty is not None:
-                one = [pa.nulls(1, t) for t in (empty.type, pa.int64(), pa.int32(), pa.int64())]
+                one = [pa.nulls(1, t) for t in (empty.type, pa.int64(), pa.int32(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*one, pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([total[used].tolist()], pa.list_(pa.int64()))], names)
 
-        names = ["k", "h", "line", "sig", "at", "count"]
-        return self.scratch.cut(self.docs.mapInArrow(run, f"k {self.kind}, h long, line int, sig long, at array<long>, count array<long>"))
+        names = ["k", "h", "line", "sig", "sig2", "at", "count"]
+        return self.scratch.cut(self.docs.mapInArrow(run, f"k {self.kind}, h long, line int, sig long, sig2 long, at array<long>, count array<long>"))
 
     def _prefixes(self, counters: np.ndarray) -> DataFrame:
-        """(sig, n, prefix, even, odd): the first words of every class by rarity, and its parities; a row for each slice that holds the class."""
+        """(sig, sig2, n, prefix, even, odd): the first words of every class by rarity, and its parities; a row for each slice that holds the class."""
         least, num, den = self.min_words, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +102,12 @@ class LineJoin:
                 h, counts, _ = K.split_lines([K.to_bytes(t) for t in b.column(1).to_pylist()])
                 unit, ranked, n = K.distinct_by_unit(counts, (place[h >> K.U(46)] << K.U(46)) | (h & rest))
                 words = (chosen_by[ranked >> K.U(46)] << K.U(46)) | (ranked & rest)
-                sig = _signatures(unit, words, n)
+                sig, sig2 = _signatures(unit, words, n)
+                order = np.lexsort((sig2, sig))
+                new = np.ones(len(n), bool)
+                new[1:] = (sig[order[1:]] != sig[order[:-1]]) | (sig2[order[1:]] != sig2[order[:-1]])
                 once = np.zeros(len(n), bool)
-                once[np.unique(sig, return_index=True)[1]] = True
+                once[order[new]] = True
                 take = once & (n >= least)
                 unit, words = unit[take[unit]], words[take[unit]]
                 even, odd = _parities(unit, words, len(n))
@@ -112,21 +116,21 @@ class LineJoin:
                 most = n - (n * num + den - 1) // den + 1
                 ends = np.concatenate([[0], np.cumsum(most[take])])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[pos < most[unit]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[take]), pa.array(n[take], pa.int32()), prefix, pa.array(even[take].view(np.int64)), pa.array(odd[take].view(np.int64))], ["sig", "n", "prefix", "even", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[take]), pa.array(sig2[take]), pa.array(n[take], pa.int32()), prefix, pa.array(even[take].view(np.int64)), pa.array(odd[take].view(np.int64))], ["sig", "sig2", "n", "prefix", "even", "odd"])
 
-        return self.docs.mapInArrow(run, "sig long, n int, prefix array<long>, even long, odd long")
+        return self.docs.mapInArrow(run, "sig long, sig2 long, n int, prefix array<long>, even long, odd long")
 
     def _classes(self, seen: DataFrame, counters: np.ndarray) -> DataFrame:
-        """(num, sig, n, prefix, even, odd, first): every class once; num rises with its first line's place."""
+        """(num, sig, sig2, n, prefix, even, odd, first): every class once; num rises with its first line's place."""
         place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
-        firsts, path = self.scratch.table(seen.groupBy("sig").agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
-        once = self._prefixes(counters).dropDuplicates(["sig"])
-        classes = self.scratch.cut(once.join(firsts, "sig"))
+        firsts, path = self.scratch.table(seen.groupBy(*SIG).agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
+        once = self._prefixes(counters).dropDuplicates(SIG)
+        classes = self.scratch.cut(once.join(firsts, SIG))
         self.scratch.drop(path)
         return classes
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """(sig, words) of the classes wanted (first: the place of a line that is one)."""
+        """(sig, sig2, words) of the classes wanted (first: the place of a line that is one)."""
         lines = wanted.groupBy(F.col("first.k").alias("k2"), F.col("first.h").alias("h2")).agg(F.collect_set("first.line").alias("lines"))
         rows = self.docs.join(lines, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select("t", "lines")
 
@@ -139,10 +143,10 @@ class LineJoin:
                 h, counts = K.split_units(chosen)
                 unit, words, n = K.distinct_by_unit(counts, h)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([pa.array(_signatures(unit, words, n)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["sig", "words"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _signatures(unit, words, n)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], [*SIG, "words"])
 
         # rows that repeat a key and a text give a class again
-        return rows.mapInArrow(run, "sig long, words array<long>").dropDuplicates(["sig"])
+        return rows.mapInArrow(run, "sig long, sig2 long, words array<long>").dropDuplicates(SIG)
 
     def _close(self, *sketches: str) -> Column:
         """Whether two sets, the other's columns with _a, differ in few enough of the sketches' places."""
@@ -151,52 +155,80 @@ class LineJoin:
 
     def _verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """num of pairs (a, num) whose whole sets are similar."""
-        told = classes.select("num", "sig", "n", "even", "odd")
+        told = classes.select("num", *SIG, "n", "even", "odd")
         before = told.select(*[F.col(c).alias(f"{c}_a") for c in told.columns])
-        pairs, path = self.scratch.table(pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(self._close("even", "odd")).select("num", "sig", "n", "sig_a", "n_a"))
-        both = pairs.select("sig").unionAll(pairs.select("sig_a")).distinct()
-        sets, sets_path = self.scratch.table(self._sets(both.join(classes.select("sig", "first"), "sig")))
-        joined = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("words_a")), "sig_a")
+        close = pairs.join(before, F.col("a") == F.col("num_a")).join(told, "num").where(self._close("even", "odd"))
+        pairs, path = self.scratch.table(close.select("num", *SIG, "n", *[f"{c}_a" for c in SIG], "n_a"))
+        both = pairs.select(*SIG).unionAll(pairs.select(*[f"{c}_a" for c in SIG])).distinct()
+        sets, sets_path = self.scratch.table(self._sets(both.join(classes.select(*SIG, "first"), SIG)))
+        other = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns])
+        joined = pairs.join(sets, SIG).join(other, [f"{c}_a" for c in SIG])
         o = F.size(F.array_intersect("words", "words_a"))
         found = self.scratch.cut(joined.where(o * self.den >= (F.col("n") + F.col("n_a") - o) * self.num).select("num").distinct())
         self.scratch.drop(path)
         self.scratch.drop(sets_path)
         return found
 
+    def _earliest_first(self, classes: DataFrame) -> DataFrame:
+        """num of classes that share a crowded prefix word with a similar class, the word's earliest."""
+        words = classes.select(F.explode("prefix").alias("g"))
+        crowded, words_path = self.scratch.table(words.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("g"))
+        rows, path = self.scratch.table(classes.select("num", "n", "even", F.posexplode("prefix").alias("pos", "g")).join(crowded, "g"))
+        least = rows.groupBy("g").agg(F.min(F.struct("num", "n", "even", "pos")).alias("p"))
+        earliest = least.select("g", *[F.col(f"p.{c}").alias(f"{c}_a") for c in ("num", "n", "even", "pos")])
+        both = rows.join(earliest, "g").where(F.col("num_a") < F.col("num")).where(self._near())
+        found = self._verify(both.select(F.col("num_a").alias("a"), "num").distinct(), classes)
+        self.scratch.drop(words_path)
+        self.scratch.drop(path)
+        return found
+
+    def _near(self) -> Column:
+        """Whether classes that share a word at pos and pos_a, as their first one, can be similar."""
+        total = F.col("n") + F.col("n_a")
+        size = F.least("n", "n_a") * self.den >= F.greatest("n", "n_a") * self.num
+        differ = (F.col("pos") + F.col("pos_a")) * (self.den + self.num) <= total * (self.den - self.num)
+        room = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) * (self.den + self.num) >= total * self.num
+        return size & differ & room & self._close("even")
+
+    def _shorter(self) -> Column:
+        """Whether the shared word stands in the smaller set's own prefix among larger ones, which is shorter.
+
+        A set of n words shares 2 n num / (num + den) at least with a similar one that is no smaller.
+        """
+
+        def inside(n: str, pos: str) -> Column:
+            least = F.floor((2 * self.num * F.col(n) + self.num + self.den - 1) / (self.num + self.den))
+            return F.col(pos) <= F.col(n) - least
+
+        return F.when(F.col("n_a") <= F.col("n"), inside("n_a", "pos_a")).otherwise(inside("n", "pos"))
+
     def removed(self) -> DataFrame:
         """(k, h, line) of the lines that go."""
         every = self.occurrences()
-        seen = every.where("sig is not null").select("k", "h", "line", "sig")
+        seen = every.where("sig is not null").select("k", "h", "line", *SIG)
         counters = np.zeros(COUNTERS, np.int64)
         for r in every.where("at is not null").select(F.explode(F.arrays_zip("at", "count")).alias("c")).groupBy("c.at").agg(F.sum("c.count").alias("n")).collect():
             counters[r["at"]] = r["n"]
         classes = self._classes(seen, counters)
-
-        def rows(some: DataFrame) -> DataFrame:
-            return some.select("num", "n", "even", F.posexplode("prefix").alias("pos", "g"))
-
-        def other(some: DataFrame) -> DataFrame:
-            return some.select("g", F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("even").alias("even_a"))
-
-        total = F.col("n") + F.col("n_a")
-        size = F.least("n", "n_a") * self.den >= F.greatest("n", "n_a") * self.num
-        differ = (F.col("pos") + F.col("pos_a")) * (self.den + self.num) <= total * (self.den - self.num)
-        room = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) * (self.den + self.num) >= total * self.num
-        similar = (F.col("a") < F.col("num")) & size & differ & room & self._close("even")
-        groups = rows(classes).groupBy("g").agg(F.min(F.struct("num", "n", "pos", "even")).alias("p"), F.count("*").alias("m")).where(F.col("m") > CROWD)
-        earliest, path = self.scratch.table(groups.select("g", "p.*"))
-        gone = self._verify(rows(classes).join(other(earliest), "g").where(similar).select("a", "num").distinct(), classes)
-        self.scratch.drop(path)
-        rest = classes.join(gone, "num", "left_anti")
-        later = self._verify(rows(rest).join(other(rows(classes)), "g").where(similar).select("a", "num").distinct(), classes)
+        gone = self._earliest_first(classes)
+        # settled classes stay, as others may be similar to them; both sides of the join are alike, so that rows are dealt once
+        flagged = classes.join(gone.withColumn("gone", F.lit(1)), "num", "left")
+        rows = flagged.select("num", (F.col("n") * 2 + F.coalesce("gone", F.lit(0))).alias("size"), "even", F.posexplode("prefix").alias("pos", "g"))
+        x, y = rows.alias("x"), rows.alias("y")
+        named = [F.col(f"{t}.{c}").alias(f"{c}{end}") for t, end in (("x", "_a"), ("y", "")) for c in ("num", "size", "even", "pos")]
+        paired = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.num") < F.col("y.num"))).select(*named)
+        sized = paired.withColumns({"n": F.shiftright("size", 1), "n_a": F.shiftright("size_a", 1), "gone": F.col("size") % 2 + 0 * F.col("size_a")})
+        pairs = sized.where((F.col("gone") == 0) & self._near() & self._shorter())
+        later = self._verify(pairs.select(F.col("num_a").alias("a"), "num").distinct(), classes)
         near = gone.unionAll(later).withColumn("near", F.lit(True))
-        told = classes.select("num", "sig", "first").join(near, "num", "left")
+        told = classes.select("num", *SIG, "first").join(near, "num", "left")
         place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
-        return seen.join(told, "sig").where(F.col("near") | (place != F.col("first"))).select("k", "h", "line")
+        return seen.join(told, SIG).where(F.col("near") | (place != F.col("first"))).select("k", "h", "line")
 
 
-def _signatures(unit: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return K.mix(K.set_sums(unit, K.mix(words), len(n))).view(np.int64)
+def _signatures(unit: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, as two numbers."""
+    return tuple(K.mix(K.set_sums(unit, K.mix(w), len(n)) + add).view(np.int64) for w, add in ((words, K.U(0)), (words ^ K.U(0xA5A5A5A5A5A5A5A5), K.U(1))))
 
 
 def _parities(unit: np.ndarray, words: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,14 +247,16 @@ def _parities(unit: np.ndarray, words: np.ndarray, units: int) -> tuple[np.ndarr
 def removed_line_lists(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs and the column MARK: numbers (from 0, rising) of the lines that go, null where all stay.
 
-    Of rows that repeat a key and a text, all keep what the first line of a class is.
+    Of rows that repeat a key and a text, all keep what the first line of a class is. Null keys are one key, after all others; null and
+    empty texts and blank lines have no words and are not compared. Other columns stay, whatever their names; one named MARK is replaced.
     """
     steps = Scratch(docs.sparkSession, "line-steps")
     join = LineJoin(docs, steps, num, den, min_words, key, text)
     gone = scratch.cut(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
     steps.clear()
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    return hashed.join(gone, hashed[key].eqNullSafe(gone["k"]) & (hashed["_text_hash"] == gone["h"]), "left").select(*[hashed[c] for c in docs.columns], gone[MARK])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col(f"row.`{key}`").eqNullSafe(F.col("k")) & (F.xxhash64(F.col(f"row.`{text}`")) == F.col("h"))
+    return whole.join(gone, same, "left").select(*[F.col(f"row.`{c}`") for c in docs.columns if c != MARK], MARK)
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, drop_share: float | None = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,9 +267,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10,
     marked = removed_line_lists(docs, scratch, num, den, min_words, key, text)
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(MARK), i)), "\n")
-    words = lambda t: F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    out = marked.withColumn("_kept", F.when(F.col(MARK).isNotNull(), kept).otherwise(F.col(text)))
+    left = F.when(F.col(MARK).isNotNull(), kept).otherwise(F.col(text))
+    out = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != MARK]).alias("row"), F.col(MARK).isNotNull().alias("touched"), left.alias("left"))
     if drop_share is not None:
-        few = F.col(MARK).isNotNull() & (words(F.col("_kept")) <= words(F.col(text)) * (1 - drop_share))
-        out = out.where(~few)
-    return out.select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns])
+        words = lambda t: F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        out = out.where(~(F.col("touched") & (words(F.col("left")) <= words(F.col(f"row.`{text}`")) * (1 - drop_share))))
+    return out.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != MARK])
