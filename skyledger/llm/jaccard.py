@@ -18,6 +18,8 @@ SLICE = 400
 #: Fragments in which the overlaps of a candidate pair are counted apart.
 PARTS = 4
 STAR_ROUNDS = 1
+#: The keys are dealt to so many rounds by their hashes, one after another: their shuffles are on disk one round at a time.
+KEY_ROUNDS = 4
 
 
 def _lists(unit: np.ndarray, values: np.ndarray, units: int) -> pa.Array:
@@ -38,18 +40,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa
 
 
 def shingle_keys(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """(key, n, sig, keys): set size, 128-bit signature of the set (null if empty) and the fragment keys."""
+    """(key, n, sig, u, keys0, keys1, ...): set size, 128-bit signature of the set (null if empty), its first half, and the fragment keys by round."""
+    rounds = [f"keys{r}" for r in range(KEY_ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = K.Fragments(num, den)
         for batch in _pieces(batches):
             unit, values, counts = K.shingle_sets([K.to_bytes(x) for x in batch.column(1).to_pylist()], words)
-            sig = _sig_array(K.signatures(unit, values, len(counts)), counts)
+            halves = K.signatures(unit, values, len(counts))
             of, made = cuts.keys(unit, values, counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), sig, _lists(of, made, len(counts))], [key, "n", "sig", "keys"])
+            turn = made % K.U(KEY_ROUNDS)
+            lists = [_lists(of[turn == r], made[turn == r], len(counts)) for r in range(KEY_ROUNDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), _sig_array(halves, counts), pa.array(halves[:, 0].view(np.int64)), *lists], [key, "n", "sig", "u", *rounds])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, sig binary, keys array<long>")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, sig binary, u long, " + ", ".join(f"{r} array<long>" for r in rounds))
 
 
 def shingle_parts(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -89,10 +94,24 @@ class JaccardJoin:
         self.base = scratch.cut(shingle_keys(self.docs, key, text, words, num, den))
 
     def members(self) -> DataFrame:
-        """(k, sig, n) of buckets with two classes or more."""
-        keyed = self.base.where("n > 0").select(F.explode("keys").alias("k"), "sig", F.col("n").cast("int").alias("n"))
-        shared = keyed.groupBy("k").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("k")
-        return self.scratch.cut(keyed.join(shared, "k").distinct())
+        """(k, sig, n) of buckets with two classes or more.
+
+        Keys go with half a signature first; classes that share a half come together again where the whole one is joined.
+        Two similar classes that share a half (one in 2^64) could miss each other in a bucket of no third class.
+        """
+        found = []
+        for r in range(KEY_ROUNDS):
+            keyed = self.base.where("n > 0").select(F.explode(f"keys{r}").alias("k"), "u")
+            shared = keyed.groupBy("k").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo <> hi").select("k")
+            found.append(self.scratch.table(keyed.join(shared.hint("shuffle_hash"), "k").distinct()))
+        every = found[0][0]
+        for more, _ in found[1:]:
+            every = every.unionAll(more)
+        classes = self.base.where("n > 0").select("u", "sig", F.col("n").cast("int").alias("n")).distinct()
+        members = self.scratch.cut(every.join(classes, "u").select("k", "sig", "n"))
+        for _, path in found:
+            self.scratch.drop(path)
+        return members
 
     def parts(self, members: DataFrame) -> DataFrame:
         wanted = self.scratch.cut(members.select("sig").distinct())
@@ -166,11 +185,11 @@ class JaccardJoin:
         own = self.base.where("sig is not null").groupBy("sig").agg(F.min(self.key).alias("least"))
         label = self.classes()
         if label is None:
-            return own
+            return self.scratch.cut(own)
         linked = own.join(label, F.col("sig") == F.col("node"))
         least = linked.groupBy("component").agg(F.min("least").alias("of_all"))
         told = label.join(least, "component").select(F.col("node").alias("sig"), "of_all")
-        return own.join(told, "sig", "left").select("sig", F.coalesce("of_all", "least").alias("least"))
+        return self.scratch.cut(own.join(told, "sig", "left").select("sig", F.coalesce("of_all", "least").alias("least")))
 
     def groups(self) -> DataFrame:
         """(key, n_shingles, component_id) for every row of docs: component_id is the least key that links reach.
@@ -178,8 +197,11 @@ class JaccardJoin:
         Null and blank texts have an empty set, no link and their own key; a null key is never the least of others.
         Repeated rows stay, each with the same component.
         """
-        full = self.base.select(self.key, "n", "sig").join(self.least(), "sig", "left")
-        return full.select(self.key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(self.key)).alias("component_id"))
+        rows = self.base.select(self.key, "n", "sig")
+        # both sides are written tables, so that Spark can split the rows of a text that many share
+        linked = rows.where("n > 0").join(self.least(), "sig").select(self.key, "n", "least")
+        empty = rows.where("n = 0").select(self.key, "n", F.col(self.key).alias("least"))
+        return linked.unionAll(empty).select(self.key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def jaccard_groups(docs: DataFrame, scratch: Scratch, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,10 +216,12 @@ def keep_one_of_each_group(docs: DataFrame, scratch: Scratch, words: int = 5, nu
     links join their texts. Rows with an empty set are in no group and all stay.
     """
     # a row's key and a 128-bit checksum of its text: rows that share it have one text, so one group
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
-    heads = scratch.cut(JaccardJoin(docs.select(place.alias("_place"), text), scratch, words, num, den, "_place", text).least().select(F.col("least").alias("_head")).distinct())
-    empty = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    blank = docs.where(empty)
-    chosen = docs.where(~empty).withColumn("_place", place).join(heads, F.col("_place") == F.col("_head"), "left_semi")
-    one = chosen.groupBy("_place").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")).select("_row.*")
-    return one.unionByName(blank)
+    place = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("k"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
+    steps = Scratch(docs.sparkSession, "copies-steps")
+    join = JaccardJoin(docs.select(place.alias("place"), F.col(f"`{text}`").alias("text")), steps, words, num, den, "place", "text")
+    heads = scratch.cut(join.least().select(F.col("least").alias("head")).distinct())
+    steps.clear()
+    empty = F.trim(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    rows = docs.where(~empty).select(place.alias("place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = rows.join(heads, F.col("place") == F.col("head"), "left_semi").groupBy("place").agg(F.min("row").alias("row"))
+    return one.select("row.*").unionByName(docs.where(empty))
