@@ -31,6 +31,8 @@ UNITS, SAND = 64, 4
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
+#: What the tokenizer's pattern and Python's take for different kinds of characters.
+CONTROL = regex.compile("[\x00-\x1f\x7f-\x9f]")
 
 
 class WordEncoder:
@@ -60,7 +62,8 @@ class WordEncoder:
         self.pattern = None
         if norms == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"]:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            self.added = [t["content"] for t in parts["added_tokens"]]
+            if not all("<|" in t["content"] for t in parts["added_tokens"]):
+                self.pattern = None
             plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             other = [b for b in range(256) if b not in set(plain)]
             # byte-level letters: bytes that print stand for themselves, the others follow from 256 on
@@ -68,7 +71,7 @@ class WordEncoder:
 
     def ids(self, word: bytes) -> list[int]:
         text = word.decode("utf-8")
-        if self.pattern is None or (not word.isascii() and ord(max(text)) >= self.LATIN_END) or ("<" in text and any(t in text for t in self.added)):
+        if self.pattern is None or (not word.isascii() and ord(max(text)) >= self.LATIN_END) or CONTROL.search(text) or "<|" in text:
             return self.tok.encode(text, add_special_tokens=False).ids
         if not word.isascii():
             text = unicodedata.normalize("NFC", text).lower()
@@ -88,7 +91,9 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         young, old, out = self.young, self.old, []
-        for w in (text or "").encode("utf-8", "replace").lower().split():
+        raw = (text or "").encode("utf-8", "replace")
+        # added tokens are looked for before letters are lower-cased
+        for w in [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split():
             b = young.get(w)
             if b is None:
                 b = old.get(w)

@@ -195,7 +195,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows:
 
 
 def score_quality(docs: DataFrame, model: PairGam, text: str = "text", out: str = "score") -> DataFrame:
-    """docs and out: the score in (0, 1) of every whole text, 1 likelier good. A null text is empty; no row is dropped."""
+    """docs and out: the score in (0, 1) of every whole text, 1 likelier good. A null text is empty; no row is dropped; a column named out is replaced."""
+    docs = docs.drop(out)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

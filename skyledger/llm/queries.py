@@ -76,7 +76,7 @@ def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", whole_components(F.col("embedding")).alias("v"))
-    return top_k(rows.where("vec_id % 50 = 0"), rows, Scratch(spark, "op8"))
+    return top_k(rows, F.col("vec_id") % 50 == 0, Scratch(spark, "op8"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ BAR = "▁"
 SLICE_ROWS, SLICE_TEXT = 2000, 2**20
 WORD = 2**64 - 1
 #: Units whose lattices a worker keeps; what else a slice has is built for it.
-BASE_UNITS = 60_000
+BASE_UNITS = 120_000
 _MODELS: dict[tuple[str, float], "Pieces"] = {}
 
 
@@ -208,16 +208,20 @@ class Lattices:
             top = np.maximum.reduceat(s, heads)
             beta[lo:hi] = total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, d)), heads))
             self.logp[e0:e1] = s - np.repeat(total, d)
-        self.prob = np.exp(self.logp)
+        prob = np.exp(self.logp)
         before, after = np.zeros(len(weight)), np.zeros(len(weight))
         last = self.first + self.degree - 1
         for j in range(1, int(self.degree.max(initial=1))):
             more = self.degree > j
             i = self.first[more] + j
-            before[i] = before[i - 1] + self.prob[i - 1]
+            before[i] = before[i - 1] + prob[i - 1]
             i = last[more] - j
-            after[i] = after[i + 1] + self.prob[i + 1]
-        self.upto, self.other = before + self.prob, before + after
+            after[i] = after[i + 1] + prob[i + 1]
+        self.upto = before + prob
+        with np.errstate(divide="ignore"):
+            self.rest = np.log(before + after)  # of the other edges of the state
+        for name in ("degree", "first", "of", "piece", "target", "start"):
+            setattr(self, name, getattr(self, name).astype(np.int32))
 
     def joined(self, other: Lattices, model: Pieces) -> Lattices:
         """These lattices and then the other's, in the model's buffers: what stood there behind these lattices is overwritten."""
@@ -226,7 +230,7 @@ class Lattices:
         out.ids, out.text = self.ids.followed(other.ids, known), self.text.followed(other.text, known)
         moved = np.where(other.piece >= known, other.piece + len(self.ids.size) - known, other.piece)
         changed = {"first": other.first + edges, "of": other.of + states, "piece": moved, "target": np.where(other.target < 0, -1, other.target + states), "start": other.start + states}
-        for name in ("degree", "first", "of", "piece", "target", "start", "logp", "prob", "upto", "other"):
+        for name in ("degree", "first", "of", "piece", "target", "start", "logp", "upto", "rest"):
             own, more = getattr(self, name), changed.get(name, getattr(other, name))
             size = len(own) + len(more)
             room = model.buffers.get(name)
@@ -296,7 +300,7 @@ def normalize(text: str | None) -> str:
 
 def uniform(marks: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 (neither is one of them) out of 64-bit marks."""
-    return ((K.mix(marks) >> K.U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((K.mix(marks) >> K.U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def _mark(seed: int, *parts: int) -> int:
@@ -349,11 +353,11 @@ class Draws:
                 path, unit_of = source
                 state = lat.of[path[place]]
                 free = [e for e in range(int(lat.first[state]), int(lat.first[state] + lat.degree[state])) if e not in spent]
-                p = lat.prob[free]
+                p = np.exp(lat.logp[free])
                 r, r2 = uniform(np.array([_mark(seed, 1), _mark(seed, 2)], K.U))
                 edge = free[min(int(np.searchsorted(np.cumsum(p), r * p.sum(), side="right")), len(free) - 1)]
                 rest = [e for e in free if e != edge]
-                left = float(lat.prob[rest].sum())
+                left = float(np.exp(lat.logp[rest]).sum())
                 if left > 0:
                     loc = float(lat.logp[path[:place]].sum()) + math.log(left)
                     nodes.append((float(_under(loc, top, r2)), source, place, (*spent, edge)))
@@ -375,15 +379,18 @@ class Draws:
                 units = np.concatenate([source[1][:place], np.array([unit], np.int32), units])
             logs = lat.logp[path]
             self.found[i].append((top, float(logs.sum()), path))
-            later = np.flatnonzero(lat.other[path[len(head) :]] > 0) + len(head)
+            loc = (np.cumsum(logs) - logs + lat.rest[path])[len(head) :]
+            later = np.flatnonzero(loc > -np.inf)
+            # the best nodes, as many as are drawn yet and the first one left out
+            some = self.k - turn
+            if len(later) > some:
+                # log(-log(r)) lies between -36.8 and 3.6: nodes so far below the others are not among the best
+                later = later[loc[later] >= np.partition(loc[later], -some)[-some] - 41.5]
             if len(later):
-                loc = (np.cumsum(logs) - logs)[later] + np.log(lat.other[path[later]])
-                score = _under(loc, top, uniform(K.mix(K.U(_mark(seed, 3)) + later.astype(K.U) * K.U(0xE7037ED1A0B428DB))))
-                # the best of them, as many as are drawn yet and the first one left out
-                some = self.k - turn
-                for j in np.argpartition(-score, some - 1)[:some] if len(later) > some else range(len(later)):
-                    where = int(later[j])
-                    self.nodes[i].append((float(score[j]), (path, units), where, (int(path[where]),)))
+                noise = np.log(-np.log(uniform(K.mix(K.U(_mark(seed, 3)) + later.astype(K.U) * K.U(0xE7037ED1A0B428DB))))) - loc[later]
+                for j in np.argpartition(noise, some - 1)[:some] if len(later) > some else range(len(later)):
+                    where = int(later[j]) + len(head)
+                    self.nodes[i].append((float(-np.logaddexp(-top, noise[j])), (path, units), where, (int(path[where]),)))
 
 
 def sample_text(text: str | None, model: Pieces, k: int, seed: int) -> list[tuple[bytes, float, float]]:

@@ -328,7 +328,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows:
             x = [found(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in x], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    got = sample.where("_half = 1").select("_y", "_t").mapInArrow(hits, "y int, a double, b double, c double").orderBy("a", "b", "c", "y").collect()
+    got = sample.where("_half = 1").select("_y", "_t").mapInArrow(hits, "y int, a double, b double, c double").collect()
+    got.sort(key=lambda r: (r["a"], r["b"], r["c"], r["y"]))  # the fit does not hang on the rows' order
     y = np.array([1.0 if r["y"] else 0.0 for r in got])
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.sum()) / (len(y) + 1), 1e-6), 1 - 1e-6)
@@ -337,7 +338,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """docs and out: the score in (0, 1) of every whole text, 1 likelier toxic. A null text is empty; no row is dropped."""
+    """docs and out: the score in (0, 1) of every whole text, 1 likelier toxic. A null text is empty; no row is dropped; a column named out is replaced."""
+    docs = docs.drop(out)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

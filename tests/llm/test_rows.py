@@ -100,6 +100,20 @@ def test_packing(spark):
     assert used == histogram and sum(t for _, t in planned) <= 1.01 * sum(n * c for n, c in histogram.items()) / 4096 + 1
 
 
+def test_word_encoder():
+    """Against the tokenizer itself: every character up to 0x250 alone and within words, special tokens, and random mixtures."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    chars = [chr(c) for c in [*range(1, 0x250), 0, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x0301, 0x4E00, 0x1F600]]
+    rng = np.random.default_rng(3)
+    parts = [*chars, "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "Don't", "IT'S", "he'LL", "x1", "99", "e\u0301", "I\u0307", "\u0130", "word", "THE", " ", "\n", "  "]
+    texts = [f"a{c}B" for c in chars] + chars + ["".join(rng.choice(parts, 12)) for _ in range(4000)]
+    for t, got in zip(texts, packing.encode_texts(texts, path)):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_segmentation(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = segment.sample_segmentations(docs(spark, [*TEXTS[:4], "漢 Ω  two", "abc" * 100]), path, k=3).collect()
@@ -136,18 +150,32 @@ def test_segmentation(spark):
     assert segment.sample_segmentations(docs(spark, []), path).count() == 0
 
 
-def test_top_k(spark):
+def best_rows(vectors, scale=256, k=5, asks=lambda i: i % 5 == 0):
+    """(query, rank, key, score), by Python's integers; every row but the query's own is a candidate."""
+    clean = []
+    for i, v in vectors:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x * scale) for x in v):
+            clean.append((i, [math.floor(scale * x) for x in v]))
+    out = []
+    for at, (q, asked) in enumerate(clean):
+        if asks(q):
+            best = sorted((-sum(a * b for a, b in zip(asked, v)), i) for n, (i, v) in enumerate(clean) if n != at)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
+    from skyledger.llm import topk
+
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 16)
     rng = np.random.default_rng(2)
-    vectors = [(i, rng.normal(size=16).tolist()) for i in range(300)] + [(300 + i, [0.5] * 16) for i in range(20)] + [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (404, []), (405, [1e300]), (None, [1.0])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").select("vec_id", whole_components(F.col("embedding")).alias("v"))
-    got = {}
-    for r in top_k(df.where("vec_id % 5 = 0"), df, Scratch(spark, "t"), 5).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    clean = {i: [math.floor(min(max(256 * x, -(2**28)), 2**28)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in [i for i in clean if i % 5 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(clean[q], v)), i) for i, v in clean.items() if i != q)[:5]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert top_k(df.limit(0), df, Scratch(spark, "t")).count() == 0
+    vectors = [(i, rng.normal(size=16).tolist()) for i in range(300)] + [(300 + i, [0.5] * 16) for i in range(20)] + [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (404, []), (None, [1.0])]
+    vectors += [(5, [0.25] * 16), (5, [0.25] * 16), (410, [-0.001, 1e-300]), (415, [1e308] * 16)]
+    huge = [(0, [3e6, -1.0]), (5, [3e6, 2.0]), (6, [-3e6, 0.5]), (7, [2.0**70, 1.0]), (8, [1e12, 1e12]), (10, [1e200, -1.0]), (11, [1e199]), (12, [-1e200])]
+    for some in (vectors, huge, vectors[:3], []):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>").select("vec_id", whole_components(F.col("embedding")).alias("v"))
+        assert sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, Scratch(spark, "t"), 5).collect())) == best_rows(some)
 
 
 def test_urls(spark):
@@ -163,6 +191,30 @@ def test_urls(spark):
     assert got == {1: ("com/en/", "block"), 2: (None, "block"), 3: ("example.com/en/7", "allow"), 4: ("net/de/", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.net/de/8", "block"), 8: (None, "block"), 9: ("com/en/", "block"), 10: (None, "allow"), 11: (None, "allow"), 12: ("org/es/", "block")}
 
 
+def test_link_edges(spark):
+    base = "http://A.test/d/e/p.html"
+    cases = {"x.html": "a.test/d/e/x.html", "./x": "a.test/d/e/x", "../x?q#f": "a.test/d/x?q", "../../../x": "a.test/x", "/r": "a.test/r", "?p=1": "a.test/d/e/p.html?p=1", "//b.test/z": "b.test/z", "HTTPS://B.test/Y": "b.test/Y", "..": "a.test/d/", ".": "a.test/d/e/", "mailto:me@x": None, "#top": None, "p.html": None}
+    for target, want in cases.items():
+        pages = spark.createDataFrame([(1, base, f"<p><LINK rel='canonical' href='{target}'></p>")], "page_id long, url string, html string")
+        assert [(r.u, r.v) for r in link_edges(pages).collect()] == ([("a.test/d/e/p.html", want)] if want else []), target
+    two = '<link href="/a" rel=canonical><link rel=canonical href="/b"><meta http-equiv="refresh" content="3; url=/c">'
+    rows = [(1, base, two), (1, base, two), (2, None, two), (3, "nothing", two), (4, base, None), (5, base, "canonical refresh")]
+    assert {r.v for r in link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"a.test/a", "a.test/b", "a.test/c"}
+
+
+def test_urls_edge_cases(spark):
+    rules = [parse_rule("block", "bad.test/"), parse_rule("allow", "good.test/")]
+    link = '<link rel=canonical href="%s">'
+    rows = [(1, "http://x.test/1", link % "http://bad.test/1", "k"), (1, "http://x.test/1", link % "http://bad.test/1", "k"), (2, "http://y.test/", link % "http://x.test/1", None), (3, "http://good.test/", link % "http://y.test/", "n"), (None, None, None, None), (5, "http://z.test/", "x" * 200_000, "")]
+    schema = "page_id long, url string, html string, _host string"
+    pages = spark.createDataFrame(rows, schema).withColumn("node", F.lit(7)).withColumn("said", F.lit("?")).withColumn("own", F.lit(1))
+    for some, want in ((pages, [(1, "allow"), (1, "allow"), (2, "allow"), (3, "allow"), (5, "allow"), (None, "allow")]), (pages.where("page_id <> 3"), [(1, "block"), (1, "block"), (2, "block"), (5, "allow")])):
+        got = judge_urls(some, Scratch(spark, "t"), rules, link_edges(some))
+        assert got.columns == ["page_id", "url", "html", "node", "said", "own", "_host", "_path", "_rule", "_verdict"]
+        assert sorted(((r.page_id, r._verdict) for r in got.collect()), key=str) == want and {(r.node, r.said, r.own) for r in got.collect()} == {(7, "?", 1)}
+    assert judge_urls(pages.limit(0), Scratch(spark, "t"), rules, link_edges(pages.limit(0))).count() == 0
+
+
 def test_toxicity(spark):
     good, bad = ["the weather is fine and calm today number%d" % i for i in range(120)], ["the weather is fine you idiot today number%d" % i for i in range(60)]
     texts = good + bad + ["what an id1ot", "an i d i o t indeed", None, "", "an idiiiiot here", "calm"]
@@ -171,6 +223,8 @@ def test_toxicity(spark):
     model = toxicity.fit_toxicity(docs(spark, texts), labels, s)
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, texts), model).collect()}
     assert all(got[i] < 0.5 for i in [*range(120), 182, 183, 185]) and all(got[i] >= 0.5 for i in [*range(120, 182), 184])
+    clash = toxicity.score_toxicity(docs(spark, texts).withColumn("score", F.lit("x")).withColumn("_y", F.lit(1)), model)
+    assert {r.doc_id: r.score for r in clash.collect()} == got and clash.columns == ["doc_id", "text", "lang", "shard", "length", "_y", "score"]
     none = toxicity.fit_toxicity(docs(spark, []), labels.limit(0), s)
     assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs(spark), none).collect())
 
@@ -204,6 +258,8 @@ def test_quality(spark):
     model = fit_quality(docs(spark, texts), labels, Scratch(spark, "t"))
     got = {r.doc_id: r.score for r in score_quality(docs(spark, texts), model).collect()}
     assert len(got) == 202 and all((got[i] >= 0.3) == (i < 150) for i in range(200))
+    clash = score_quality(docs(spark, texts).withColumn("score", F.lit("x")), model)
+    assert {r.doc_id: r.score for r in clash.collect()} == got
     x = np.random.default_rng(0).normal(size=(3000, 3))
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     m = PairGam().fit(x, y)
