@@ -14,20 +14,35 @@ from skyledger.llm.scratch import Scratch
 from skyledger.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with underscores so that it is no column of docs."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that score as toxic."""
-    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()), Scratch(spark, "toxicity"))
-    return score_toxicity(docs, model, out="_score").where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    """docs without those that score as toxic. Null and empty texts score like a text without words; repeated rows score alike; other columns stay."""
+    scratch, score = Scratch(spark, "toxicity"), _free(docs, "score")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()), scratch)
+    scratch.clear()
+    return score_toxicity(docs, model, out=score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that score as poor."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()), Scratch(spark, "quality"))
-    return score_quality(docs, model, out="_score").where(F.col("_score") >= GOOD_FROM).select(*docs.columns)
+    """docs without those that score as poor. Null and empty texts score like a text without words; repeated rows score alike; other columns stay."""
+    scratch, score = Scratch(spark, "quality"), _free(docs, "score")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()), scratch)
+    scratch.clear()
+    return score_quality(docs, model, out=score).where(F.col(score) >= GOOD_FROM).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without lines that come after a similar one; a document goes only if no word is left. n_chars follows the text."""
+    """docs without lines that come after a similar one; a document goes only if no word is left. n_chars follows the text.
+
+    The order is that of doc_id, null keys last, then of the line; rows that repeat a doc_id and a text lose the same lines.
+    Null and empty texts, which have no line with a word, stay as they are.
+    """
     kept = dedup_lines(docs, Scratch(spark, "lines"), min_words=1, drop_share=1.0)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -35,11 +50,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five-word shingles, 0.8)."""
+    """One document of each group of similar ones (five-word shingles, 0.8): that of the least doc_id, null keys last.
+
+    Rows are grouped by their texts, whatever their keys. Null and blank texts are in no group and all stay.
+    """
     return keep_one_of_each_group(docs, Scratch(spark, "copies")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and place. A null text is empty: its piece is the end id alone.
+
+    Repeated rows and null keys are packed row by row. An empty table gives none.
+    """
     return pack_documents(docs, Scratch(spark, "packing"), vocabulary(TOKENIZER))
 
 
