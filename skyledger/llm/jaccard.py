@@ -91,7 +91,7 @@ class JaccardJoin:
         if not 0 < num <= den:
             raise ValueError("the threshold lies in (0, 1]")
         self.docs, self.scratch, self.words, self.num, self.den, self.key, self.text = docs.select(key, text), scratch, words, num, den, key, text
-        self.base = scratch.cut(shingle_keys(self.docs, key, text, words, num, den))
+        self.base, self.base_path = scratch.table(shingle_keys(self.docs, key, text, words, num, den))
 
     def members(self) -> DataFrame:
         """(k, sig, n) of buckets with two classes or more.
@@ -109,8 +109,10 @@ class JaccardJoin:
             every = every.unionAll(more)
         classes = self.base.where("n > 0").select("u", "sig", F.col("n").cast("int").alias("n")).distinct()
         members = self.scratch.cut(every.join(classes, "u").select("k", "sig", "n"))
-        for _, path in found:
+        kept, base_path = self.scratch.table(self.base.select(self.key, "n", "sig"))
+        for path in (self.base_path, *[path for _, path in found]):
             self.scratch.drop(path)
+        self.base, self.base_path = kept, base_path
         return members
 
     def parts(self, members: DataFrame) -> DataFrame:
@@ -125,12 +127,23 @@ class JaccardJoin:
         return small * self.den >= large * self.num
 
     def verify(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """(u, v) of pairs (u, v, nu, nv) whose overlaps over all fragments sum to enough."""
-        left = pairs.join(parts.select(F.col("sig").alias("u"), "part", F.col("grams").alias("gu")), "u")
-        both = left.join(parts.select(F.col("sig").alias("v"), "part", F.col("grams").alias("gv")), ["v", "part"])
-        partial = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("gu", "gv")).cast("long").alias("o"))
-        total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("o").alias("o"))
-        return total.where(F.col("o") * self.den >= (F.col("nu") + F.col("nv") - F.col("o")) * self.num).select("u", "v")
+        """(u, v) of pairs (u, v, nu, nv) whose overlaps over all fragments sum to enough; one fragment at a time, so that one's shingles are on disk."""
+        pairs, path = self.scratch.table(pairs)
+        found = []
+        for p in range(PARTS):
+            part = parts.where(F.col("part") == p)
+            left = pairs.select("u", "v").join(part.select(F.col("sig").alias("u"), F.col("grams").alias("gu")), "u")
+            both = left.join(part.select(F.col("sig").alias("v"), F.col("grams").alias("gv")), "v")
+            o = F.size(F.array_intersect("gu", "gv")).cast("long")
+            found.append(self.scratch.table(both.select("u", "v", o.alias("o")).where("o > 0")))
+        every = found[0][0]
+        for more, _ in found[1:]:
+            every = every.unionAll(more)
+        total = every.groupBy("u", "v").agg(F.sum("o").alias("o")).join(pairs, ["u", "v"])
+        links = self.scratch.cut(total.where(F.col("o") * self.den >= (F.col("nu") + F.col("nv") - F.col("o")) * self.num).select("u", "v"))
+        for x in (path, *[x for _, x in found]):
+            self.scratch.drop(x)
+        return links
 
     def prefixes(self, classes: DataFrame, parts: DataFrame) -> DataFrame:
         """(g, sig, n, c, pos): the rarest shingles of each class, as many as similar sets must share one of; those of one class only are left out."""
@@ -175,15 +188,15 @@ class JaccardJoin:
             first = F.col("sig") < F.col("sig2")
             named = {"u": ("sig", "sig2"), "v": ("sig2", "sig"), "nu": ("n", "n2"), "nv": ("n2", "n")}
             pairs = paired.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for z, (x, y) in named.items()])
-            found = self.scratch.cut(self.verify(pairs.distinct(), parts))
+            found = self.verify(pairs.distinct(), parts)
             links = found if links is None else links.unionAll(found)
             label = connected_components(links, self.scratch)
         return self.scratch.cut(label)
 
     def least(self) -> DataFrame:
         """(sig, least): every class and the least key that its links reach."""
-        own = self.base.where("sig is not null").groupBy("sig").agg(F.min(self.key).alias("least"))
         label = self.classes()
+        own = self.base.where("sig is not null").groupBy("sig").agg(F.min(self.key).alias("least"))
         if label is None:
             return self.scratch.cut(own)
         linked = own.join(label, F.col("sig") == F.col("node"))
@@ -197,9 +210,10 @@ class JaccardJoin:
         Null and blank texts have an empty set, no link and their own key; a null key is never the least of others.
         Repeated rows stay, each with the same component.
         """
+        least = self.least()
         rows = self.base.select(self.key, "n", "sig")
         # both sides are written tables, so that Spark can split the rows of a text that many share
-        linked = rows.where("n > 0").join(self.least(), "sig").select(self.key, "n", "least")
+        linked = rows.where("n > 0").join(least, "sig").select(self.key, "n", "least")
         empty = rows.where("n = 0").select(self.key, "n", F.col(self.key).alias("least"))
         return linked.unionAll(empty).select(self.key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 

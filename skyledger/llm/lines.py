@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
+from .scratch import Scratch, free_names
 
 #: Counters of word frequencies: a table of fixed size, whatever the vocabulary.
 COUNTERS = 2**18
 SLICE, SLICE_BYTES = 400, 2**20
-#: A prefix word of more classes than this is a crowd: its classes are compared with its earliest first.
-CROWD = 64
+#: Orders of the words whose least one names groups of classes to settle first.
+MINIMA = 3
 MARK = "_removed_lines"
 SIG = ["sig", "sig2"]
 
@@ -52,8 +52,8 @@ class LineJoin:
     total order gives the same result. Similar sets share a word of their prefixes. Candidates agree on such a word, pass the
     length filter and the positional one (words before the first shared one are differences), then a sketch of 128 parities (the
     places where two sketches differ are at most as many as the words that do), and are verified on whole sets.
-    Where more than CROWD classes share a prefix word, they are first compared with the earliest only; those found similar are
-    settled, and all others are compared with every class that shares a word. So a group of near copies costs its size.
+    First, classes that share the least hash of their words, in one of MINIMA orders, are compared with the earliest of them only; those
+    found similar are settled, and all others are compared with every class that shares a word. So a group of near copies costs its size.
     """
 
     def __init__(self, docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, key: str = "doc_id", text: str = "text"):
@@ -89,7 +89,7 @@ class LineJoin:
         return self.scratch.cut(self.docs.mapInArrow(run, f"k {self.kind}, h long, line int, sig long, sig2 long, at array<long>, count array<long>"))
 
     def _prefixes(self, counters: np.ndarray) -> DataFrame:
-        """(sig, sig2, n, prefix, even, odd): the first words of every class by rarity, and its parities; a row for each slice that holds the class."""
+        """(sig, sig2, n, prefix, minima, even, odd): the first words of every class by rarity, and its parities; a row for each slice that holds the class."""
         least, num, den = self.min_words, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +111,20 @@ class LineJoin:
                 take = once & (n >= least)
                 unit, words = unit[take[unit]], words[take[unit]]
                 even, odd = _parities(unit, words, len(n))
+                heads = np.cumsum(n[take]) - n[take]
+                minima = [np.minimum.reduceat(K.mix(words ^ K.U((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))), heads) if len(heads) else words for i in range(MINIMA)]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(minima, 1).reshape(-1).view(np.int64)), MINIMA).cast(pa.list_(pa.int64()))
                 size = np.where(take, n, 0)
                 pos = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
                 most = n - (n * num + den - 1) // den + 1
                 ends = np.concatenate([[0], np.cumsum(most[take])])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[pos < most[unit]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[take]), pa.array(sig2[take]), pa.array(n[take], pa.int32()), prefix, pa.array(even[take].view(np.int64)), pa.array(odd[take].view(np.int64))], ["sig", "sig2", "n", "prefix", "even", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[take]), pa.array(sig2[take]), pa.array(n[take], pa.int32()), prefix, lists, pa.array(even[take].view(np.int64)), pa.array(odd[take].view(np.int64))], ["sig", "sig2", "n", "prefix", "minima", "even", "odd"])
 
-        return self.docs.mapInArrow(run, "sig long, sig2 long, n int, prefix array<long>, even long, odd long")
+        return self.docs.mapInArrow(run, "sig long, sig2 long, n int, prefix array<long>, minima array<long>, even long, odd long")
 
     def _classes(self, seen: DataFrame, counters: np.ndarray) -> DataFrame:
-        """(num, sig, sig2, n, prefix, even, odd, first): every class once; num rises with its first line's place."""
+        """(num, sig, sig2, n, prefix, minima, even, odd, first): every class once; num rises with its first line's place."""
         place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "line")
         firsts, path = self.scratch.table(seen.groupBy(*SIG).agg(F.min(place).alias("first")).orderBy("first").withColumn("num", F.monotonically_increasing_id()))
         once = self._prefixes(counters).dropDuplicates(SIG)
@@ -170,17 +173,14 @@ class LineJoin:
         return found
 
     def _earliest_first(self, classes: DataFrame) -> DataFrame:
-        """num of classes that share a crowded prefix word with a similar class, the word's earliest."""
-        words = classes.select(F.explode("prefix").alias("g"))
-        crowded, words_path = self.scratch.table(words.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("g"))
-        rows, path = self.scratch.table(classes.select("num", "n", "even", F.posexplode("prefix").alias("pos", "g")).join(crowded, "g"))
-        least = rows.groupBy("g").agg(F.min(F.struct("num", "n", "even", "pos")).alias("p"))
-        earliest = least.select("g", *[F.col(f"p.{c}").alias(f"{c}_a") for c in ("num", "n", "even", "pos")])
-        both = rows.join(earliest, "g").where(F.col("num_a") < F.col("num")).where(self._near())
-        found = self._verify(both.select(F.col("num_a").alias("a"), "num").distinct(), classes)
-        self.scratch.drop(words_path)
-        self.scratch.drop(path)
-        return found
+        """num of classes that are similar to the earliest class with one of their least word hashes.
+
+        Similar sets share such a hash with a chance of num / den for each of MINIMA orders, so a group of near copies is
+        settled but for a few, which the join finds; a class takes part in MINIMA comparisons, however large its group.
+        """
+        rows = classes.select("num", F.posexplode("minima").alias("i", "m"))
+        least = rows.groupBy("i", "m").agg(F.min("num").alias("a"), F.max("num").alias("z")).where("a < z").drop("z")
+        return self._verify(rows.join(least, ["i", "m"]).where("a < num").select("a", "num").distinct(), classes)
 
     def _near(self) -> Column:
         """Whether classes that share a word at pos and pos_a, as their first one, can be similar."""
@@ -254,9 +254,11 @@ def removed_line_lists(docs: DataFrame, scratch: Scratch, num: int = 8, den: int
     join = LineJoin(docs, steps, num, den, min_words, key, text)
     gone = scratch.cut(join.removed().groupBy("k", "h").agg(F.sort_array(F.collect_set("line")).alias(MARK)))
     steps.clear()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = F.col(f"row.`{key}`").eqNullSafe(F.col("k")) & (F.xxhash64(F.col(f"row.`{text}`")) == F.col("h"))
-    return whole.join(gone, same, "left").select(*[F.col(f"row.`{c}`") for c in docs.columns if c != MARK], MARK)
+    k, h, hashed = free_names(docs, "k", "h", "hashed")
+    told = gone.select(F.col("k").alias(k), F.col("h").alias(h), MARK)
+    whole = docs.drop(MARK).withColumn(hashed, F.xxhash64(F.col(f"`{text}`")))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(hashed) == F.col(h))
+    return whole.join(told, same, "left").drop(k, h, hashed)
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10, min_words: int = 5, drop_share: float | None = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,11 +267,12 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, num: int = 8, den: int = 10,
     Null and empty texts have no line that counts and stay as they are; so do other columns.
     """
     marked = removed_line_lists(docs, scratch, num, den, min_words, key, text)
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.split(F.col(f"`{text}`"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(MARK), i)), "\n")
-    left = F.when(F.col(MARK).isNotNull(), kept).otherwise(F.col(text))
-    out = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != MARK]).alias("row"), F.col(MARK).isNotNull().alias("touched"), left.alias("left"))
+    left = F.when(F.col(MARK).isNotNull(), kept).otherwise(F.col(f"`{text}`"))
+    (name,) = free_names(marked, "left")
+    out = marked.withColumn(name, left)
     if drop_share is not None:
-        words = lambda t: F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-        out = out.where(~(F.col("touched") & (words(F.col("left")) <= words(F.col(f"row.`{text}`")) * (1 - drop_share))))
-    return out.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != MARK])
+        words = lambda t: F.size(F.filter(F.split(F.col(f"`{t}`"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        out = out.where(~(F.col(MARK).isNotNull() & (words(name) <= words(text) * (1 - drop_share))))
+    return out.select(*[F.col(f"`{name}`").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != MARK])

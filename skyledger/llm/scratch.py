@@ -54,6 +54,17 @@ class Scratch:
             self.drop(self.root)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, each with so many underscores before it that it is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def schema_and(df: DataFrame, **more: str) -> StructType:
     """df's schema and further fields, as a new one (StructType.add changes its own)."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
