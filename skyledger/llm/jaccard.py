@@ -18,6 +18,8 @@ SLICE = 400
 #: Fragments in which the overlaps of a candidate pair are counted apart.
 PARTS = 4
 STAR_ROUNDS = 1
+#: Times that classes in too few mixed buckets are taken out, and buckets that are not mixed then.
+THINNED = 2
 #: The keys are dealt to so many rounds by their hashes, one after another: their shuffles are on disk one round at a time.
 KEY_ROUNDS = 4
 
@@ -40,7 +42,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa
 
 
 def shingle_keys(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """(key, n, sig, u, keys0, keys1, ...): set size, 128-bit signature of the set (null if empty), its first half, and the fragment keys by round."""
+    """(key, n, sig, u, common, keys0, keys1, ...): set size, 128-bit signature of the set (null if empty), its first half, how many keys it shares with a similar set at least, and the fragment keys by round."""
     rounds = [f"keys{r}" for r in range(KEY_ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,13 +50,13 @@ def shingle_keys(docs: DataFrame, key: str, text: str, words: int, num: int, den
         for batch in _pieces(batches):
             unit, values, counts = K.shingle_sets([K.to_bytes(x) for x in batch.column(1).to_pylist()], words)
             halves = K.signatures(unit, values, len(counts))
-            of, made = cuts.keys(unit, values, counts)
+            of, made, common = cuts.keys(unit, values, counts)
             turn = made % K.U(KEY_ROUNDS)
             lists = [_lists(of[turn == r], made[turn == r], len(counts)) for r in range(KEY_ROUNDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), _sig_array(halves, counts), pa.array(halves[:, 0].view(np.int64)), *lists], [key, "n", "sig", "u", *rounds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), _sig_array(halves, counts), pa.array(halves[:, 0].view(np.int64)), pa.array(common, pa.int32()), *lists], [key, "n", "sig", "u", "common", *rounds])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, sig binary, u long, " + ", ".join(f"{r} array<long>" for r in rounds))
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, sig binary, u long, common int, " + ", ".join(f"{r} array<long>" for r in rounds))
 
 
 def shingle_parts(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -80,8 +82,9 @@ class JaccardJoin:
        (kernels.Fragments); classes that agree on a fragment are candidates. No class without a partner is compared.
     3. In each such bucket a pivot is compared with every other class; the overlap of a pair is counted in each of
        PARTS fragments apart and summed per pair. Links make components.
-    4. Buckets whose classes are all in one component are done: more links there would change nothing.
-       In the others, what is still in different components is compared with another pivot, and at last by pairs that
+    4. Buckets whose classes are all in one component are done: more links there would change nothing. A class in
+       fewer of the other buckets than it shares with any similar set has no link left to find.
+       In the other buckets, what is still in different components is compared with another pivot, and at last by pairs that
        share a shingle in their prefixes, in rising order of the shingles' frequency among the classes left (a pair
        that links must). So every pair that could join two components is compared, while shared passages
        and groups of near copies, whose classes differ by shingles of their own, cost their size and not its square.
@@ -94,7 +97,7 @@ class JaccardJoin:
         self.base, self.base_path = scratch.table(shingle_keys(self.docs, key, text, words, num, den))
 
     def members(self) -> DataFrame:
-        """(k, sig, n) of buckets with two classes or more.
+        """(k, sig, n, common) of buckets with two classes or more, without classes in too few of them to have a link.
 
         Keys go with half a signature first; classes that share a half come together again where the whole one is joined.
         Two similar classes that share a half (one in 2^64) could miss each other in a bucket of no third class.
@@ -107,8 +110,11 @@ class JaccardJoin:
         every = found[0][0]
         for more, _ in found[1:]:
             every = every.unionAll(more)
-        classes = self.base.where("n > 0").select("u", "sig", F.col("n").cast("int").alias("n")).distinct()
-        members = self.scratch.cut(every.join(classes, "u").select("k", "sig", "n"))
+        # without the classes that too few shared keys are left to
+        halves = self.base.where("n > 0").select("u", "common").groupBy("u").agg(F.min("common").alias("common"))
+        able = every.groupBy("u").agg(F.count("*").alias("m")).join(halves, "u").where("m >= common").select("u")
+        classes = self.base.where("n > 0").select("u", "sig", F.col("n").cast("int").alias("n"), "common").distinct().join(able, "u", "left_semi")
+        members = self.scratch.cut(every.join(classes, "u").select("k", "sig", "n", "common"))
         kept, base_path = self.scratch.table(self.base.select(self.key, "n", "sig"))
         for path in (self.base_path, *[path for _, path in found]):
             self.scratch.drop(path)
@@ -145,15 +151,41 @@ class JaccardJoin:
             self.scratch.drop(x)
         return links
 
-    def prefixes(self, classes: DataFrame, parts: DataFrame) -> DataFrame:
-        """(g, sig, n, c, pos): the rarest shingles of each class, as many as similar sets must share one of; those of one class only are left out."""
-        grams = parts.join(classes, "sig").select("sig", "n", "c", F.explode("grams").alias("g"))
-        shared = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-        common = grams.join(shared, "g")
-        by = W.partitionBy("sig")
-        ranked = common.withColumn("pos", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "g")) - 1)
+    def prefix_pairs(self, classes: DataFrame, parts: DataFrame) -> DataFrame:
+        """(sig, n, c, sig2, n2, c2) of classes (sig, n, c) of two components that share one of their rarest shingles.
+
+        As many of them as similar sets must share one of, in the order of (classes that have it, hash); shingles of one class only come first and
+        are counted, not compared. One fragment of the shingles is counted at a time, and classes go by number, so that little is on disk.
+        """
+        named, named_path = self.scratch.table(classes.withColumn("num", F.monotonically_increasing_id()))
+        ids, found = named.select("sig", "num"), []
+        for p in range(PARTS):
+            rows = parts.where(F.col("part") == p).join(ids, "sig").select("num", F.explode("grams").alias("g"))
+            shared = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+            found.append(self.scratch.table(rows.join(shared.hint("shuffle_hash"), "g").select("num", "g", F.col("df").cast("int").alias("df"))))
+        common = found[0][0]
+        for more, _ in found[1:]:
+            common = common.unionAll(more)
+        sized = common.join(named.select("num", F.col("n").cast("int").alias("n")), "num")
+        by = W.partitionBy("num")
+        ranked = sized.withColumn("pos", F.col("n") - F.count("*").over(by).cast("int") + F.row_number().over(by.orderBy("df", "g")) - 1)
         needed = F.floor((F.col("n") * self.num + self.den - 1) / self.den)
-        return self.scratch.cut(ranked.where(F.col("pos") <= F.col("n") - needed).select("g", "sig", "n", "c", "pos"))
+        prefix, prefix_path = self.scratch.table(ranked.where(F.col("pos") <= F.col("n") - needed).select("g", "num", "n", "pos"))
+        for _, path in found:
+            self.scratch.drop(path)
+        x, y = prefix.alias("x"), prefix.alias("y")
+        n, n2, pos, pos2 = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
+        # before the first shingle that two sets share, every shingle of either is a difference
+        differ = (pos + pos2) * (self.den + self.num) <= (n + n2) * (self.den - self.num)
+        left = F.least(n - pos, n2 - pos2) * (self.den + self.num) >= (n + n2) * self.num
+        size = F.least(n, n2) * self.den >= F.greatest(n, n2) * self.num
+        met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.num") < F.col("y.num")) & differ & left & size)
+        pairs, path = self.scratch.table(met.select(F.col("x.num").alias("num"), F.col("y.num").alias("num2")).distinct())
+        other = named.select(*[F.col(c).alias(f"{c}2") for c in named.columns])
+        out = self.scratch.cut(pairs.join(named, "num").join(other, "num2").where("c <> c2").drop("num", "num2"))
+        for x in (path, prefix_path, named_path):
+            self.scratch.drop(x)
+        return out
 
     def classes(self) -> DataFrame | None:
         """(node, component) of the classes that have a link; None if no two classes share a fragment."""
@@ -166,9 +198,15 @@ class JaccardJoin:
         for turn in range(STAR_ROUNDS + 1):
             now = members.withColumn("c", F.col("sig"))
             if label is not None:
-                now = members.join(label, F.col("sig") == F.col("node"), "left").select("k", "sig", "n", F.coalesce("component", "sig").alias("c"))
-                mixed = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-                now = self.scratch.cut(now.join(mixed, "k", "left_semi"))
+                now = members.join(label, F.col("sig") == F.col("node"), "left").select("k", "sig", "n", "common", F.coalesce("component", "sig").alias("c"))
+                now, path = self.scratch.table(now)
+                for _ in range(THINNED):
+                    mixed = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+                    open_ = now.join(mixed, "k", "left_semi")
+                    able = open_.groupBy("sig").agg(F.count("*").alias("m"), F.min("common").alias("least")).where("m >= least").select("sig")
+                    thinner, new_path = self.scratch.table(open_.join(able, "sig", "left_semi"))
+                    self.scratch.drop(path)
+                    now, path = thinner, new_path
                 if now.isEmpty():
                     break
             other = [F.col(x).alias(f"{x}2") for x in ("sig", "n", "c")]
@@ -179,11 +217,7 @@ class JaccardJoin:
                 pivot = now.join(weights, "sig").groupBy("k").agg(best).select("k", "p.sig", "p.n", "p.c")
                 paired = now.join(pivot.select("k", *other), "k").where("c <> c2")
             else:
-                prefix = self.prefixes(now.select("sig", "n", "c").distinct(), parts)
-                # before the first shingle that two sets share, every shingle of either is a difference
-                differ = (F.col("pos") + F.col("pos2")) * (self.den + self.num) <= (F.col("n") + F.col("n2")) * (self.den - self.num)
-                left = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (self.den + self.num) >= (F.col("n") + F.col("n2")) * self.num
-                paired = prefix.join(prefix.select("g", F.col("pos").alias("pos2"), *other), "g").where("c < c2").where(differ & left)
+                paired = self.prefix_pairs(now.select("sig", "n", "c").distinct(), parts)
             paired = paired.where(self.similar_size("n", "n2"))
             first = F.col("sig") < F.col("sig2")
             named = {"u": ("sig", "sig2"), "v": ("sig2", "sig"), "nu": ("n", "n2"), "nv": ("n2", "n")}

@@ -161,15 +161,23 @@ class Fragments:
     def slack(self, n: int) -> int:
         return 2 * n * (self.den - self.num) // (self.den + self.num)
 
-    def keys(self, unit: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, key) of all keys; unit, values and counts as distinct_by_unit gives them."""
+    def keys(self, unit: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, key) of all keys, and how many of its keys a unit has in common with a similar set at least; unit, values and counts as distinct_by_unit gives them.
+
+        A set with more fragments in use than slack has that many more in common with any similar set, in the class of the larger one.
+        """
         out = [self._small(unit, values, counts)]
+        common = np.full(len(counts), 2**31 - 1, np.int64)
         which = np.searchsorted(self.bounds, counts, side="right") - 1
-        out.append(self._cut(unit, values, counts, which, which >= 0))
         # the largest similar set has counts * den / num shingles
         most = np.searchsorted(self.bounds, counts * self.den // self.num, side="right") - 1
-        out.append(self._cut(unit, values, counts, which + 1, (most > which) & (counts > 0)))
-        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        for level, chosen in ((which, which >= 0), (which + 1, (most > which) & (counts > 0))):
+            of, made, used = self._cut(unit, values, counts, level, chosen)
+            out.append((of, made))
+            least = np.maximum(1, used - self.slacks[np.maximum(level, 0)])
+            common = np.where(chosen, np.minimum(common, least), common)
+        common[counts <= self.small] = 1
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), common
 
     def _small(self, unit, values, counts):
         chosen = (counts > 0) & (counts <= self.small)
@@ -184,7 +192,7 @@ class Fragments:
         take = chosen[unit]
         u, v = unit[take], values[take]
         if not len(u):
-            return np.zeros(0, np.int64), np.zeros(0, U)
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(counts), np.int64)
         cuts = self.cuts[np.maximum(which, 0)]
         frag = (((v >> U(32)) * cuts[u].astype(U)) >> U(32)).astype(np.int64)
         new = np.ones(len(u), bool)
@@ -203,4 +211,4 @@ class Fragments:
                 more_u.append(np.full(len(empty), i))
                 more_k.append(mix(mix((U(which[i]) << U(40)) + empty.astype(U) + U(1))))
             ku, keys = np.concatenate([ku, *more_u]), np.concatenate([keys, *more_k])
-        return ku, keys
+        return ku, keys, used
