@@ -33,8 +33,8 @@ def resolved(value: Column, method: str, checks: Column | None = None) -> Column
     return fact(value, F.lit("resolved"), F.lit(method), None, checks, F.array(value))
 
 
-def unknown(issue: Column | str) -> Column:
-    return fact(F.lit(None), F.lit("unresolved"), None, _texts(issue))
+def unknown(issue: Column | str, method: str | None = None, evidence: Column | None = None) -> Column:
+    return fact(F.lit(None), F.lit("unresolved"), F.lit(method), _texts(issue), None, evidence)
 
 
 def check_clock(f: Column, raw_clock: Column, zone: Column, tolerance: int = 0) -> Column:
@@ -43,10 +43,10 @@ def check_clock(f: Column, raw_clock: Column, zone: Column, tolerance: int = 0)
     A missing clock or zone adds a check, an invalid clock also an issue; the value stays. A clock that disagrees
     takes the value away and makes the fact a contradiction.
     """
-    return let(f, lambda g: let(clock_minutes(parse_integer(raw_clock)), lambda m: _checked(g, m, raw_clock, zone, tolerance)))
+    return let(f, lambda g: let(clock_minutes(parse_integer(raw_clock)), lambda m: checked(g, m, raw_clock, zone, tolerance)))
 
 
-def _checked(f: Column, minute: Column, raw_clock: Column, zone: Column, tolerance: int) -> Column:
+def checked(f: Column, minute: Column, raw_clock: Column, zone: Column, tolerance: int) -> Column:
     said = lambda check, issue=None: fact(
         f["value"], f["status"], f["method"], F.concat(f["issues"], _texts(issue)) if issue else f["issues"], F.concat(f["checks"], _texts(check)), f["evidence"]
     )
@@ -64,13 +64,13 @@ def _checked(f: Column, minute: Column, raw_clock: Column, zone: Column, toleran
 def scheduled_departure(day: Column, clock: Column, elapsed: Column, arrival_clock: Column, origin_zone: Column, destination_zone: Column) -> Column:
     """The scheduled instant of departure; of two candidates of a fold, the one whose arrival shows the scheduled arrival clock."""
     number = parse_integer(clock)
-    minute = clock_minutes(number)
-    return let(local_candidates(day, minute, origin_zone), lambda options: _departure(options, day, number, minute, clock, elapsed, arrival_clock, origin_zone, destination_zone))
+    minute, shown = clock_minutes(number), clock_minutes(parse_integer(arrival_clock))
+    return let(local_candidates(day, minute, origin_zone), lambda options: departure_of(options, day, number, minute, clock, elapsed, shown, origin_zone, destination_zone))
 
 
-def _departure(options, day, number, minute, clock, elapsed, arrival_clock, origin_zone, destination_zone) -> Column:
-    shown = clock_minutes(parse_integer(arrival_clock))
-    fitting = F.filter(options, lambda c: F.coalesce(clock_agrees(add_minutes(c, elapsed), shown, destination_zone), F.lit(False)))
+def departure_of(options, day, number, minute, clock, elapsed, shown, origin_zone, destination_zone, tolerance: int = 0) -> Column:
+    """The scheduled departure out of its candidate instants; number and minute: the departure clock read, shown: the minute of the arrival clock."""
+    fitting = F.filter(options, lambda c: F.coalesce(clock_agrees(add_minutes(c, elapsed), shown, destination_zone, tolerance), F.lit(False)))
     return (
         F.when(day.isNull(), unknown("missing_flight_date"))
         .when(origin_zone.isNull(), unknown("origin_timezone_unresolved"))
@@ -89,9 +89,14 @@ def scheduled_arrival(departure: Column, elapsed: Column, clock: Column, zone: C
 
 
 def _arrival(departure: Column, elapsed: Column, clock: Column, zone: Column, tolerance: int) -> Column:
+    return check_clock(planned_arrival(departure, elapsed), clock, zone, tolerance)
+
+
+def planned_arrival(departure: Column, elapsed: Column) -> Column:
+    """The scheduled arrival before its check against the clock."""
     value = add_minutes(departure["value"], elapsed)
-    found = F.when(departure["value"].isNull(), unknown("schedule_departure_unresolved")).when(value.isNull(), unknown("missing_or_invalid_scheduled_elapsed"))
-    return check_clock(found.otherwise(resolved(value, "scheduled_elapsed")), clock, zone, tolerance)
+    found = F.when(departure["value"].isNull(), unknown("schedule_departure_unresolved", "scheduled_elapsed")).when(value.isNull(), unknown("missing_or_invalid_scheduled_elapsed", "scheduled_elapsed"))
+    return found.otherwise(resolved(value, "scheduled_elapsed"))
 
 
 def actual_departure(scheduled: Column, delay: Column, clock: Column, zone: Column, cancelled: Column, tolerance: int = 0) -> Column:
@@ -99,10 +104,19 @@ def actual_departure(scheduled: Column, delay: Column, clock: Column, zone: Colu
 
 
 def _left(scheduled: Column, delay: Column, clock: Column, zone: Column, cancelled: Column, tolerance: int) -> Column:
+    return check_clock(observed_departure(scheduled, delay, clock, cancelled), clock, zone, tolerance)
+
+
+def observed_departure(scheduled: Column, delay: Column, clock: Column, cancelled: Column) -> Column:
+    """The actual departure before its check against the clock; a cancelled flight without delay and clock has none."""
     value = add_minutes(scheduled["value"], delay)
     absent = F.coalesce(cancelled, F.lit(False)) & delay.isNull() & (F.coalesce(F.trim(clock), F.lit("")) == "")
-    found = F.when(scheduled["value"].isNull(), unknown("schedule_departure_unresolved")).when(value.isNull(), unknown("departure_delay_missing"))
-    return F.when(absent, fact(F.lit(None), F.lit("not_applicable"), F.lit("cancelled_no_departure_reported"))).otherwise(check_clock(found.otherwise(resolved(value, "departure_delay")), clock, zone, tolerance))
+    return (
+        F.when(value.isNotNull(), resolved(value, "departure_delay"))
+        .when(absent, fact(F.lit(None), F.lit("not_applicable"), F.lit("cancelled_no_departure_reported")))
+        .when(scheduled["value"].isNull(), unknown("schedule_departure_unresolved", "departure_delay"))
+        .otherwise(unknown("departure_delay_missing", "departure_delay"))
+    )
 
 
 def combine_arrivals(by_elapsed: Column, by_delay: Column, tolerance: int = 0) -> Column:
@@ -118,10 +132,11 @@ def combine_arrivals(by_elapsed: Column, by_delay: Column, tolerance: int = 0) -
 
 
 def actual_arrival(by_elapsed: Column, by_delay: Column, departure: Column, clock: Column, zone: Column, tolerance: int = 0) -> Column:
-    return let(check_clock(combine_arrivals(by_elapsed, by_delay, tolerance), clock, zone, tolerance), lambda f: _after(f, departure))
+    return let(check_clock(combine_arrivals(by_elapsed, by_delay, tolerance), clock, zone, tolerance), lambda f: after(f, departure))
 
 
-def _after(f: Column, departure: Column) -> Column:
+def after(f: Column, departure: Column) -> Column:
+    """The arrival, a contradiction if it is not after the departure."""
     early = fact(F.lit(None), F.lit("contradiction"), f["method"], F.concat(f["issues"], _texts("arrival_not_after_departure")), f["checks"], f["evidence"])
     return F.when(f["value"] <= departure, early).otherwise(f)
 
@@ -154,3 +169,42 @@ def propagate(domains: Column) -> Column:
     swept = F.reverse(sweep(F.reverse(sweep(domains, True)), False))
     emptied = F.exists(F.arrays_zip(domains.alias("a"), swept.alias("b")), lambda z: (F.size(z["a"]) > 0) & (F.size(z["b"]) == 0))
     return F.when(emptied, F.transform(domains, lambda d: empty)).otherwise(swept)
+
+
+def stop_domain(clock: Column, zone: Column, lower: Column, upper: Column) -> Column:
+    """struct(issue, values): the instants at which a stop's clock can have been read between departure and arrival, or why there are none."""
+    minute = clock_minutes(parse_integer(clock))
+    values = window_candidates(clock, zone, lower, upper)
+    days = F.datediff(F.to_date(F.from_utc_timestamp(upper, zone)), F.to_date(F.from_utc_timestamp(lower, zone)))
+    issue = (
+        F.when(F.coalesce(F.trim(clock), F.lit("")) == "", "stop_clock_missing").when(minute.isNull(), "invalid_stop_clock").when(zone.isNull(), "stop_timezone_unresolved")
+        .when(lower.isNull() | upper.isNull(), "missing_time_anchor").when(upper < lower, "inconsistent_time_anchors").when(days > 366, "reconstruction_window_exceeds_resource_limit")
+        .when(F.size(values) == 0, "stop_clock_outside_anchors")
+    )
+    return F.struct(issue.alias("issue"), F.when(issue.isNull(), values).otherwise(F.array().cast("array<timestamp>")).alias("values"))
+
+
+def swept(domains: Column, lower: Column, upper: Column) -> Column:
+    """Domains after both sweeps from the anchors, each known one on its own: an empty one here that was not is a contradiction."""
+    start = lambda edge: F.struct(edge.alias("edge"), F.array().cast("array<array<timestamp>>").alias("out"))
+
+    def sweep(xs: Column, edge: Column, ahead: bool) -> Column:
+        def step(acc: Column, d: Column) -> Column:
+            ok = F.filter(d, lambda c: acc["edge"].isNull() | ((c >= acc["edge"]) if ahead else (c <= acc["edge"])))
+            return F.struct(F.coalesce(F.array_min(ok) if ahead else F.array_max(ok), acc["edge"]).alias("edge"), F.concat(acc["out"], F.array(ok)).alias("out"))
+
+        return F.aggregate(xs, start(edge), step)["out"]
+
+    return F.reverse(sweep(F.reverse(sweep(domains, lower, True)), upper, False))
+
+
+def stop_fact(issue: Column, values: Column, conflict: Column) -> Column:
+    """The fact of one clock of a stop out of its instants after the sweeps; conflict: a clock of the flight was left without any."""
+    method = "bounded_stop_clock"
+    return (
+        F.when(conflict & (F.size(values) > 0), fact(F.lit(None), F.lit("contradiction"), F.lit(method), _texts("stop_chronology_conflict"), None, values))
+        .when(issue.isNotNull(), unknown(issue, method))
+        .when(F.size(values) == 1, resolved(values[0], "unique_bounded_stop_clock"))
+        .when(F.size(values) == 0, unknown("stop_chronology_conflict", method, values))
+        .otherwise(unknown("ambiguous_stop_date", method, values))
+    )

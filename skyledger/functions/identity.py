@@ -27,7 +27,10 @@ def digest(canonical: Column) -> Column:
 
 def iso(value: Column) -> Column:
     """An instant as YYYY-MM-DDTHH:MM:SS+00:00, whatever the session's time zone."""
-    return F.concat(F.date_format(F.timestamp_seconds(F.unix_seconds(value)).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    seconds = F.unix_seconds(value)
+    day, rest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    clock = [F.lpad(F.floor(x).cast("string"), 2, "0") for x in (rest / 3600, rest % 3600 / 60, rest % 60)]
+    return F.concat(day.cast("string"), F.lit("T"), F.concat_ws(":", *clock), F.lit("+00:00"))
 
 
 def _words(hexadecimal: Column) -> Column:

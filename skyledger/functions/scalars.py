@@ -14,13 +14,12 @@ def blank_to_null(raw: Column) -> Column:
 
 
 def parse_integer(raw: Column) -> Column:
-    """A signed 64-bit integer from decimal text with a zero fraction; null for anything else."""
+    """A signed 64-bit integer from decimal text with a zero fraction, with or without an exponent; null for anything else."""
     text = blank_to_null(raw)
-    whole = F.regexp_extract(text, r"^([+-]?[0-9]+)(\.0*)?$", 1)
-    other = text.try_cast("double")
-    # exponents are rare: exact below 2^53
-    small = F.when((other == F.floor(other)) & (F.abs(other) < 2.0**53) & text.rlike(r"^[+-]?[0-9.]+[eE][+-]?[0-9]+$"), other.cast("long"))
-    return F.when(whole != "", whole.try_cast("long")).otherwise(small)
+    number = text.try_cast("decimal(38,18)")
+    # the cast rounds what lies beyond 18 places
+    whole = (number == F.floor(number)) & ~text.rlike(r"^[+-]?[0-9]*\.[0-9]*[1-9][0-9]*$") & text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(whole & number.between(F.lit("-9223372036854775808").cast("decimal(38,18)"), F.lit("9223372036854775807").cast("decimal(38,18)")), number.cast("long"))
 
 
 def invalid_integer(raw: Column) -> Column:

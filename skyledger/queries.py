@@ -454,3 +454,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from . import raw_queries  # noqa: E402, F401  registers its queries with the decorator above
