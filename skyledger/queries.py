@@ -262,9 +262,9 @@ def departures_window(spark, sf_dir):
     return _window(spark, sf_dir)
 
 
-@query(f"SELECT * FROM ({WINDOW_SQL}) WHERE departure > {WINDOW[1] + 600} ORDER BY departure, service_id LIMIT 3", *SCHEDULE)
+@query(f"SELECT * FROM ({WINDOW_SQL}) WHERE departure > {WINDOW[1] + 600} OR (departure = {WINDOW[1] + 600} AND service_id > '7') ORDER BY departure, service_id LIMIT 3", *SCHEDULE)
 def departures_page2(spark, sf_dir):
-    return R.page(_window(spark, sf_dir), 3, (WINDOW[1] + 600, "g"))
+    return R.page(_window(spark, sf_dir), 3, (WINDOW[1] + 600, "7"))
 
 
 @query(f"SELECT * FROM ({WINDOW_SQL}) WHERE service_id NOT IN (SELECT min(service_id) FROM ({WINDOW_SQL}))", *SCHEDULE)
@@ -374,18 +374,26 @@ def _rolled(spark, sf_dir):
 
     tables = Tables(spark, "rollout")
     offers = tables.cut(_offers(spark, sf_dir))
-    return R.rollout(_requests(offers), offers, tables)
+    requests = tables.cut(_requests(offers))
+    return requests, offers, *R.rollout(requests, offers, tables)
 
 
 @query()
 def rollout_scores(spark, sf_dir):
-    return _rolled(spark, sf_dir).select("episode_id", "reason", "decisions", "cancellations", "diversions", "missed", "reward")
+    """A test plays the same trips one by one in Python."""
+    return _rolled(spark, sf_dir)[2].select("episode_id", "reason", "decisions", "cancellations", "diversions", "missed", "reward")
 
 
-@query("SELECT '' AS episode_id, '' AS field WHERE false")
+EPISODES_SQL = """episodes AS (SELECT DISTINCT CAST(flight_date AS VARCHAR) || '/' || origin AS episode_id, origin AS airport FROM offers WHERE year(flight_date) = 2001)"""
+
+
+@query("SELECT episode_id FROM episodes WHERE airport % 2 = 1", *SCHEDULE, OFFERS_SQL, EPISODES_SQL)
 def verify_rollout(spark, sf_dir):
-    columns = ["episode_id", "reason", "decisions", "reward"]
-    return R.mismatches(_rolled(spark, sf_dir).select(*columns), _rolled(spark, sf_dir).select(*columns), "episode_id")
+    """Episodes whose stored steps do not verify: those in which the first step's status was changed here, and no other."""
+    requests, offers, _, steps = _rolled(spark, sf_dir)
+    changed = (F.col("step") == 0) & (F.col("from") % 2 == 1)
+    tampered = steps.withColumn("status", F.when(changed, F.concat("status", F.lit("!"))).otherwise(F.col("status")))
+    return R.verify_steps(requests, offers, tampered).select("episode_id").distinct()
 
 
 @query("SELECT year(o_orderdate) AS year, count(*) AS archives, CAST(sum(round(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1")
