@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from skyledger import queries as core
 
-HEADLINE = ["service_resolution", "alias_conflicts", "readiness_by_split", "service_pk", "pool_level_sizes", "pool_assignment", "pool_membership_hash", "uniform_draw", "transition_outcomes", "greedy_offer", "quality_flag_counts", "departures_window"]
+HEADLINE = ["service_resolution", "alias_conflicts", "readiness_by_split", "service_pk", "pool_level_sizes", "pool_assignment", "pool_membership_hash", "uniform_draw", "transition_outcomes", "greedy_offer", "quality_flag_counts", "departures_window", "schedule_reconstruction", "rollout_scores", "empirical_draws", "raw_cell_issues", "raw_time_facts", "raw_services"]
 
 
 def main() -> None:

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Unset, a local session gets one of its own; on a cluster, where each host would have its own, that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        where = "file://" + tempfile.mkdtemp(prefix="skyledger-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 class Tables:
-    """Written tables under spark.checkpoint.dir (one of our own only where that is unset): they cut lineage and survive lost executors."""
+    """Written tables under the shared folder: they cut lineage and survive lost executors. They go when the session ends, or by clear()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="skyledger-")
-            spark.conf.set("spark.checkpoint.dir", where)
-        self.spark, self.root = spark, f"{where.rstrip('/')}/skyledger/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/skyledger/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -126,16 +126,18 @@ def local_time_candidates(spark, sf_dir):
 @query("""SELECT origin, count(*) AS n, CAST(sum(date_diff('day', DATE '1970-01-01', flight_date) * 1440 + departure_minute + elapsed) AS BIGINT) AS arrivals,
     CAST(sum(CASE WHEN departure_delay IS NOT NULL THEN date_diff('day', DATE '1970-01-01', flight_date) * 1440 + departure_minute + departure_delay END) AS BIGINT) AS departures FROM flights GROUP BY origin""")
 def schedule_reconstruction(spark, sf_dir):
-    from .functions import facts as T
+    from .operators.normalize import time_facts
 
-    rows = flights(spark, sf_dir)
+    text, minutes = F.lit(None).cast("string"), F.lit(None).cast("long")
     clock = F.lpad((F.floor(F.col("departure_minute") / 60) * 100 + F.col("departure_minute") % 60).cast("string"), 4, "0")
-    none, utc = F.lit(None).cast("string"), F.lit("UTC")
-    dep = T.scheduled_departure(F.col("flight_date"), clock, F.col("elapsed"), none, utc, utc)
-    rows = rows.withColumn("dep", dep)
-    rows = rows.withColumn("arr", T.scheduled_arrival(F.col("dep"), F.col("elapsed"), none, utc)).withColumn("act", T.actual_departure(F.col("dep"), F.col("departure_delay"), none, utc, F.lit(False)))
-    minutes = lambda c: (F.unix_seconds(F.col(f"{c}.value")) / 60).cast("long")
-    return rows.groupBy("origin").agg(F.count("*").alias("n"), F.sum(minutes("arr")).alias("arrivals"), F.sum(minutes("act")).alias("departures"))
+    zone = F.struct(F.lit("UTC").alias("time_zone"))
+    rows = flights(spark, sf_dir).select(
+        "origin", "flight_date", clock.alias("scheduled_departure_clock"), *[text.alias(f"{t}_clock") for t in ("scheduled_arrival", "actual_departure", "actual_arrival")], F.lit("ordinary").alias("outcome_category"),
+        F.col("elapsed").alias("scheduled_elapsed_minutes"), F.col("departure_delay").alias("departure_delay_minutes"), zone.alias("origin_mapping"), zone.alias("destination_mapping"),
+        *[minutes.alias(f"{t}_minutes") for t in ("arrival_delay", "actual_elapsed", "diversion_elapsed", "diversion_arrival_delay")],
+    )
+    shown = lambda c: (F.unix_seconds(F.col(f"{c}.value")) / 60).cast("long")
+    return time_facts(rows).groupBy("origin").agg(F.count("*").alias("n"), F.sum(shown("scheduled_arrival")).alias("arrivals"), F.sum(shown("actual_departure")).alias("departures"))
 
 
 @query("""SELECT * FROM (VALUES (0, 'resolved', 600, 'both_agree'), (1, 'resolved', 600, 'elapsed_only'), (2, 'resolved', 600, 'arrival_delay_only'), (3, 'contradiction', NULL, 'two_paths'), (4, 'unresolved', NULL, NULL),
@@ -464,4 +466,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import raw_queries  # noqa: E402, F401  registers its queries with the decorator above
+from . import plan_queries, raw_queries  # noqa: E402, F401  register their queries with the decorator above

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .operators import airports as A
 from .operators import normalize as N
 from .plans.raw_view import CELLS, PARSED_SQL, overrides, raw_rows, reference
+from .plans.tables import Tables
 from .queries import query
 
 
 def flights_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.normalize(raw_rows(spark, sf_dir), reference(spark), overrides(spark))
+    """Normalized flights, written once as a snapshot has them: what reads them plans over columns, not over the expressions that made them."""
+    return Tables(spark, "normalized").cut(N.normalize(raw_rows(spark, sf_dir), reference(spark), overrides(spark)))
 
 
 _ISSUES = {
