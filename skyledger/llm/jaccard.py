@@ -157,7 +157,7 @@ class JaccardJoin:
         As many of them as similar sets must share one of, in the order of (classes that have it, hash); shingles of one class only come first and
         are counted, not compared. One fragment of the shingles is counted at a time, and classes go by number, so that little is on disk.
         """
-        named, named_path = self.scratch.table(classes.withColumn("num", F.monotonically_increasing_id()))
+        named, named_path = self.scratch.table(classes.withColumns({"num": F.monotonically_increasing_id(), "of": F.xxhash64("c")}))
         ids, found = named.select("sig", "num"), []
         for p in range(PARTS):
             rows = parts.where(F.col("part") == p).join(ids, "sig").select("num", F.explode("grams").alias("g"))
@@ -166,11 +166,11 @@ class JaccardJoin:
         common = found[0][0]
         for more, _ in found[1:]:
             common = common.unionAll(more)
-        sized = common.join(named.select("num", F.col("n").cast("int").alias("n")), "num")
+        sized = common.join(named.select("num", "of", F.col("n").cast("int").alias("n")), "num")
         by = W.partitionBy("num")
         ranked = sized.withColumn("pos", F.col("n") - F.count("*").over(by).cast("int") + F.row_number().over(by.orderBy("df", "g")) - 1)
         needed = F.floor((F.col("n") * self.num + self.den - 1) / self.den)
-        prefix, prefix_path = self.scratch.table(ranked.where(F.col("pos") <= F.col("n") - needed).select("g", "num", "n", "pos"))
+        prefix, prefix_path = self.scratch.table(ranked.where(F.col("pos") <= F.col("n") - needed).select("g", "num", "of", "n", "pos"))
         for _, path in found:
             self.scratch.drop(path)
         x, y = prefix.alias("x"), prefix.alias("y")
@@ -179,10 +179,12 @@ class JaccardJoin:
         differ = (pos + pos2) * (self.den + self.num) <= (n + n2) * (self.den - self.num)
         left = F.least(n - pos, n2 - pos2) * (self.den + self.num) >= (n + n2) * self.num
         size = F.least(n, n2) * self.den >= F.greatest(n, n2) * self.num
-        met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.num") < F.col("y.num")) & differ & left & size)
+        # classes of one component meet no more, so that a group of near copies makes no pairs here
+        apart = (F.col("x.num") < F.col("y.num")) & (F.col("x.of") != F.col("y.of"))
+        met = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & differ & left & size)
         pairs, path = self.scratch.table(met.select(F.col("x.num").alias("num"), F.col("y.num").alias("num2")).distinct())
         other = named.select(*[F.col(c).alias(f"{c}2") for c in named.columns])
-        out = self.scratch.cut(pairs.join(named, "num").join(other, "num2").where("c <> c2").drop("num", "num2"))
+        out = self.scratch.cut(pairs.join(named, "num").join(other, "num2").drop("num", "num2", "of", "of2"))
         for x in (path, prefix_path, named_path):
             self.scratch.drop(x)
         return out
