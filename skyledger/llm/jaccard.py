@@ -124,7 +124,8 @@ class JaccardJoin:
     def parts(self, members: DataFrame) -> DataFrame:
         wanted = self.scratch.cut(members.select("sig").distinct())
         ids = self.base.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(self.key).alias("_id")).select("_id").distinct()
-        chosen = self.docs.join(ids, F.col(self.key).eqNullSafe(F.col("_id")), "left_semi")
+        # by shuffle at every size: the keys grow with the documents
+        chosen = self.docs.join(ids.hint("merge"), F.col(self.key).eqNullSafe(F.col("_id")), "left_semi")
         found = shingle_parts(chosen, self.key, self.text, self.words).join(wanted, "sig", "left_semi")
         return self.scratch.cut(found.dropDuplicates(["sig", "part"]))
 
