@@ -14,9 +14,13 @@ _POWERS = [np.zeros(0, U), np.zeros(0, U)]
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit (the finaliser of splitmix64)."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    out = h >> U(30)
+    out ^= h
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(27)
+    out *= U(0x94D049BB133111EB)
+    out ^= out >> U(31)
+    return out
 
 
 #: A number for each byte.

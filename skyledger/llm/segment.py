@@ -16,8 +16,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +217,7 @@ class Lattices:
             i = last[more] - j
             after[i] = after[i + 1] + prob[i + 1]
         self.upto = before + prob
+        self.upto[last] = np.inf  # whatever rounding leaves is the last edge's
         with np.errstate(divide="ignore"):
             self.rest = np.log(before + after)  # of the other edges of the state
         for name in ("degree", "first", "of", "piece", "target", "start"):
@@ -252,11 +252,10 @@ class Lattices:
         while len(who):
             r = uniform(marks[who] + K.U(len(steps) * 0x9E3779B97F4A7C15 & WORD))
             edge = self.first[state]
-            last = edge + self.degree[state] - 1
-            on = np.flatnonzero((r >= self.upto[edge]) & (edge < last))
+            on = np.flatnonzero(r >= self.upto[edge])
             while len(on):
                 edge[on] += 1
-                on = on[(r[on] >= self.upto[edge[on]]) & (edge[on] < last[on])]
+                on = on[r[on] >= self.upto[edge[on]]]
             count[who] += 1
             steps.append((who, edge))
             state = self.target[edge]
@@ -269,22 +268,19 @@ class Lattices:
         return out, count
 
 
-@contextmanager
-def known_lattices(model: Pieces, units: dict[str, None]) -> Iterator[tuple[Lattices, dict[str, int]]]:
+def known_lattices(model: Pieces, units: list[str]) -> tuple[Lattices, np.ndarray]:
     """Lattices with all units and the number of each; those of the first BASE_UNITS or so are kept with the model."""
     if model.base is None:
         model.base = Lattices(model, []), {}
     lat, number = model.base
-    new = [u for u in units if u not in number]
-    lat = lat.joined(Lattices(model, new), model)
-    kept = len(number) < BASE_UNITS
-    number.update(zip(new, range(len(number), len(number) + len(new))))
-    if kept:
+    at = np.fromiter(map(number.get, units, repeat(-1)), np.int64, len(units))
+    absent, new = np.flatnonzero(at < 0), {}
+    at[absent] = [new.setdefault(units[i], len(number) + len(new)) for i in absent.tolist()]
+    lat = lat.joined(Lattices(model, list(new)), model)
+    if len(number) < BASE_UNITS:
+        number.update(new)
         model.base = lat, number
-    yield lat, number
-    if not kept:
-        for u in new:
-            del number[u]
+    return lat, at
 
 
 def pieces(path: str, power: float) -> Pieces:
@@ -326,9 +322,8 @@ class Draws:
 
     def __init__(self, texts: list[str | None], seeds: list[int], model: Pieces, k: int):
         cut = [model.units.findall(normalize(t)) for t in texts]
-        with known_lattices(model, dict.fromkeys(chain.from_iterable(cut))) as (lat, number):
-            starts = lat.start[np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)]
-        self.lat = lat
+        self.lat, at = known_lattices(model, list(chain.from_iterable(cut)))
+        starts = self.lat.start[at]
         ends = np.cumsum([len(u) for u in cut])
         self.starts = [starts[e - len(u) : e] for u, e in zip(cut, ends.tolist())]
         self.seeds, self.k = seeds, k
@@ -340,7 +335,7 @@ class Draws:
         self.threshold = [max((n[0] for n in nodes), default=None) for nodes in self.nodes]
 
     def _draw(self, turn: int) -> None:
-        lat, opened, starts, marks = self.lat, [], [], []
+        lat, opened, starts = self.lat, [], []
         for i, nodes in enumerate(self.nodes):
             if not nodes:
                 continue
@@ -363,34 +358,51 @@ class Draws:
                     nodes.append((float(_under(loc, top, r2)), source, place, (*spent, edge)))
                 head, unit = np.append(path[:place], edge), int(unit_of[place])
                 todo = np.append(lat.target[edge], self.starts[i][unit + 1 :])
-            opened.append((i, top, head, unit, source, place, len(todo), seed))
+            opened.append((i, top, head, unit, source, place, seed))
             starts.append(todo)
-            marks.append(K.mix(K.U(seed) + np.arange(unit, unit + len(todo), dtype=K.U) * K.U(0xA0761D6478BD642F)))
         if not opened:
             return
-        tails, counts = lat.walk(np.concatenate(starts), np.concatenate(marks))
+        # of all texts at once: the marks of the units, the walks, and the logarithms along them
+        size = np.array([len(x) for x in starts])
+        ends = np.cumsum(size)
+        unit_at = np.arange(ends[-1]) + np.repeat(np.array([o[3] for o in opened]) - ends + size, size)
+        marks = K.mix(np.repeat(np.array([o[6] for o in opened], K.U), size) + unit_at.astype(K.U) * K.U(0xA0761D6478BD642F))
+        tails, counts = lat.walk(np.concatenate(starts), marks)
+        every_log, every_rest = lat.logp[tails], lat.rest[tails]
         steps = np.concatenate([[0], np.cumsum(counts)])
-        at = 0
-        for i, top, head, unit, source, place, n, seed in opened:
-            path = np.concatenate([head, tails[steps[at] : steps[at + n]]])
-            units = np.repeat(np.arange(unit, unit + n, dtype=np.int32), counts[at : at + n])
-            at += n
+        unit_of_step = np.repeat(unit_at.astype(np.int32), counts) if turn + 1 < self.k else None
+        split, some = [], self.k - turn
+        for (i, top, head, unit, source, place, seed), a, b in zip(opened, steps[ends - size].tolist(), steps[ends].tolist()):
+            path, logs, units = tails[a:b], every_log[a:b], None
+            before = 0.0
+            if unit_of_step is not None:
+                units = unit_of_step[a:b]
             if source is not None:
-                units = np.concatenate([source[1][:place], np.array([unit], np.int32), units])
-            logs = lat.logp[path]
-            self.found[i].append((top, float(logs.sum()), path))
-            loc = (np.cumsum(logs) - logs + lat.rest[path])[len(head) :]
+                head_logs = lat.logp[head]
+                before = float(head_logs.sum())
+                path = np.concatenate([head, path])
+                if units is not None:
+                    units = np.concatenate([source[1][:place], np.array([unit], np.int32), units])
+            self.found[i].append((top, before + float(logs.sum()), path))
+            loc = before + np.cumsum(logs) - logs + every_rest[a:b]
             later = np.flatnonzero(loc > -np.inf)
             # the best nodes, as many as are drawn yet and the first one left out
-            some = self.k - turn
             if len(later) > some:
                 # log(-log(r)) lies between -36.8 and 3.6: nodes so far below the others are not among the best
                 later = later[loc[later] >= np.partition(loc[later], -some)[-some] - 41.5]
             if len(later):
-                noise = np.log(-np.log(uniform(K.mix(K.U(_mark(seed, 3)) + later.astype(K.U) * K.U(0xE7037ED1A0B428DB))))) - loc[later]
-                for j in np.argpartition(noise, some - 1)[:some] if len(later) > some else range(len(later)):
-                    where = int(later[j]) + len(head)
-                    self.nodes[i].append((float(-np.logaddexp(-top, noise[j])), (path, units), where, (int(path[where]),)))
+                split.append((i, top, len(head), (path, units), _mark(seed, 3), later, loc[later]))
+        if not split:
+            return
+        size = np.array([len(x[5]) for x in split])
+        ends = np.cumsum(size)
+        mark = np.repeat(np.array([x[4] for x in split], K.U), size) + np.concatenate([x[5] for x in split]).astype(K.U) * K.U(0xE7037ED1A0B428DB)
+        every_noise = np.log(-np.log(uniform(K.mix(mark)))) - np.concatenate([x[6] for x in split])
+        for (i, top, skipped, source, _, later, _), a, b in zip(split, (ends - size).tolist(), ends.tolist()):
+            noise = every_noise[a:b]
+            for j in np.argpartition(noise, some - 1)[:some].tolist() if len(later) > some else range(len(later)):
+                where = int(later[j]) + skipped
+                self.nodes[i].append((float(-np.logaddexp(-top, noise[j])), source, where, (int(source[0][where]),)))
 
 
 def sample_text(text: str | None, model: Pieces, k: int, seed: int) -> list[tuple[bytes, float, float]]:
@@ -407,6 +419,12 @@ def inclusion(logp: float, threshold: float | None) -> float:
     return 1.0 if threshold is None else -math.expm1(-math.exp(min(50.0, logp - threshold)))
 
 
+def _cut_at(flat: np.ndarray, size: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+    """The bytes of rows one after another, and where groups of rows (up to each of ends) begin and end."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return flat.tobytes(), [0, *upto[ends].tolist()]
+
+
 def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 0, power: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, rank, n_pieces, log_prob, perturbed, inclusion, round_trip, ids_crc32, ids): k rows per row of df, or fewer.
 
@@ -427,13 +445,18 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 0, po
             seeds = [xxhash.xxh64_intdigest(f"{seed} {name} {zlib.crc32(t[1:])}") for name, t in zip(b.column(0).to_pylist(), raw)]
             draws = Draws(texts, seeds, model, k)
             lat, at, rows = draws.lat, [], []
-            for i, found in enumerate(draws.found):
-                for rank, (score, logp, path_) in enumerate(found):
-                    piece = lat.piece[path_]
-                    ids = lat.ids.take(piece)[0].tobytes()
-                    back = lat.text.take(piece)[0].tobytes() == raw[i]
+            for rank in range(k):
+                drawn = [(i, *found[rank]) for i, found in enumerate(draws.found) if len(found) > rank]
+                if not drawn:
+                    break
+                piece = lat.piece[np.concatenate([path_ for *_, path_ in drawn])]
+                ends = np.cumsum([len(path_) for *_, path_ in drawn])
+                ids, id_ends = _cut_at(*lat.ids.take(piece), ends)
+                spelt, spelt_ends = _cut_at(*lat.text.take(piece), ends)
+                for (i, score, logp, _), a, e, c, d in zip(drawn, id_ends, id_ends[1:], spelt_ends, spelt_ends[1:]):
+                    own = ids[4 * a : 4 * e]
                     at.append(i)
-                    rows.append((rank, len(ids) // 4, logp, score, inclusion(logp, draws.threshold[i]), back, zlib.crc32(ids), ids))
+                    rows.append((rank, e - a, logp, score, inclusion(logp, draws.threshold[i]), spelt[c:d] == raw[i], zlib.crc32(own), own))
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, x) for c, x in zip(columns, types)]], names)
 
