@@ -66,8 +66,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("packing", packing)]
-#: Learned scores and a tokenizer are not SQL. Tests hold the operators, the line dedup stage and op10 to plain Python or given rows;
-#: run() and the other stages and queries as such have no test.
+#: Learned scores and a tokenizer are not SQL. A test holds the first four stages to plain Python on a small table with null and repeated keys; of
+#: packing it counts documents, and of run() rows (pack_documents has a test of its own).
 ORACLE_SQL = None
 
 
