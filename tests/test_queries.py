@@ -90,3 +90,10 @@ def test_rollout_matches_plain_python(spark):
     want = {r["episode_id"]: play(r.asDict(), by_origin) for r in requests.collect()}
     assert got == want and len(set(r[0] for r in want.values())) >= 4
     assert Q.R.verify_steps(requests, offers, steps).count() == 0
+
+
+def test_draws_read_services_once(spark, duck):
+    got = Q.queries()["empirical_draws"](spark, SF)
+    # the levels read written tables, not the line items over and over
+    assert not [f for f in got.inputFiles() if f.endswith("lineitem.parquet")]
+    assert canonical(got.toPandas()) == canonical(duck.sql(Q.oracle_sql()["empirical_draws"]).df())
