@@ -228,3 +228,12 @@ def test_snapshot(spark, reference, no_overrides, tmp_path, capsys):
     assert cli.periods(["2020-02", "2020-01"]) == [(2020, 1), (2020, 2)]
     with pytest.raises(ValueError):
         cli.periods(["2020-13"])
+
+
+def test_airports_are_looked_up_without_a_shuffle_of_flights(spark):
+    from skyledger.plans.raw_view import overrides, reference
+
+    rows = spark.sql("select id, 'AP' || id % 6 as code, date'1995-06-01' as day from range(20)")
+    got = A.resolve(rows, "id", "code", "day", None, reference(spark), overrides(spark), "m")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.code: r.m.status for r in got.collect()} == {f"AP{i}": "unmapped" if i in (4, 5) else "resolved" for i in range(6)}
