@@ -237,3 +237,39 @@ def test_airports_are_looked_up_without_a_shuffle_of_flights(spark):
     got = A.resolve(rows, "id", "code", "day", None, reference(spark), overrides(spark), "m")
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.code: r.m.status for r in got.collect()} == {f"AP{i}": "unmapped" if i in (4, 5) else "resolved" for i in range(6)}
+
+
+@pytest.fixture(scope="module")
+def raw_flights(spark):
+    from skyledger import queries  # noqa: F401  it registers the others
+    from skyledger.raw_queries import flights_of
+
+    return flights_of(spark, "/root/testdata/sf0.001")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_field_of_a_fact_is_read_without_the_others(raw_flights):
+    plan = plan_of(raw_flights.select("actual_arrival.status"))
+    assert "both_agree" not in plan and "arrival_paths_agree" not in plan and "contradiction" in plan
+
+
+def test_flights_that_tell_the_same_are_counted_before_they_are_taken_apart(raw_flights):
+    plan = plan_of(N.fact_counts(raw_flights, kinds=("issue",)))
+    assert "Aggregate" in plan[plan.index("Generate"):] and "reported_clock_agrees" not in plan
+
+
+def test_line_items_are_dealt_once(spark):
+    from skyledger.plans.flight_view import flights
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = flights(spark, "/root/testdata/sf0.001").select("l_orderkey", "origin", "destination")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_" in line]
+    assert len(dealt) == 1 and "l_orderkey" in dealt[0]
