@@ -273,3 +273,7 @@ def test_line_items_are_dealt_once(spark):
         spark.conf.set(threshold, before)
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_" in line]
     assert len(dealt) == 1 and "l_orderkey" in dealt[0]
+
+
+def test_flags_are_found_without_times(raw_flights):
+    assert "to_utc_timestamp" not in plan_of(raw_flights.select("quality_flags"))
