@@ -277,3 +277,8 @@ def test_line_items_are_dealt_once(spark):
 
 def test_flags_are_found_without_times(raw_flights):
     assert "to_utc_timestamp" not in plan_of(raw_flights.select("quality_flags"))
+
+
+def test_endpoints_are_found_without_times_or_airports(raw_flights):
+    plan = plan_of(raw_flights.select("endpoint_status", "endpoint_airport_id"))
+    assert "to_utc_timestamp" not in plan and "_mapping" not in plan
