@@ -282,3 +282,13 @@ def test_flags_are_found_without_times(raw_flights):
 def test_endpoints_are_found_without_times_or_airports(raw_flights):
     plan = plan_of(raw_flights.select("endpoint_status", "endpoint_airport_id"))
     assert "to_utc_timestamp" not in plan and "_mapping" not in plan
+
+
+def test_groups_are_counted_without_digests(spark):
+    rows = [(None, 1, "A", "1", 1), (None, 1, "A", "1", 1), (None, 1, "A", None, 2), ("invalid_schedule", 2, "B", "2", 1), ("invalid_schedule", 3, "B", "2", 2)]
+    found = spark.createDataFrame(rows, "exclusion string, m long, operating_carrier string, operating_flight_number string, origin_airport_id long")
+    found = found.selectExpr("*", "date'2020-01-01' flight_date", "2L destination_airport_id", "named_struct('value', timestamp_seconds(60 * m)) scheduled_departure")
+    counted = S.counted(found)
+    assert "sha2" not in plan_of(counted)
+    digests = S.with_id(found, S.POLICY).groupBy("exclusion", "service_id").count()
+    assert sorted(map(str, (tuple(r) for r in counted.collect()))) == sorted(str((r["exclusion"], r["count"])) for r in digests.collect()) and len(counted.collect()) == 3
