@@ -292,3 +292,11 @@ def test_groups_are_counted_without_digests(spark):
     assert "sha2" not in plan_of(counted)
     digests = S.with_id(found, S.POLICY).groupBy("exclusion", "service_id").count()
     assert sorted(map(str, (tuple(r) for r in counted.collect()))) == sorted(str((r["exclusion"], r["count"])) for r in digests.collect()) and len(counted.collect()) == 3
+
+
+def test_rows_without_cells_of_stops_have_no_stops(spark):
+    rows = [{}, {"Div3WheelsOff": "x"}, {"Div1Airport": "  "}, {"Div5AirportID": "7"}]
+    names = N.SOURCE_COLUMNS
+    raw = spark.createDataFrame([("p", "a", "m", i, *[{**BASE, **r}.get(c, "") for c in names]) for i, r in enumerate(rows)], "path string, sha256 string, member string, ordinal long, " + ", ".join(f"{c} string" for c in names))
+    want = [r.ordinal for r in N.parse_cells(raw).where("size(stops) > 0").collect()]
+    assert sorted(r.ordinal for r in raw.where(N.has_stops()).collect()) == sorted(want) == [1, 3]
