@@ -1,12 +1,15 @@
 import random
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import xor
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import connected_components
 from skyledger.llm.jaccard import jaccard_groups, keep_one_of_each_group
-from skyledger.llm.lines import MARK, dedup_lines, removed_line_lists
+from skyledger.llm.lines import MARK, ROW, LineJoin, _in_crowds, _pack, _similar_sketches, _unpack, dedup_lines, removed_line_lists
 from skyledger.llm.queries import op10_line_dedup
 from skyledger.llm.scratch import Scratch
 
@@ -130,6 +133,37 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_lines_of_crowds_meet_in_parts(spark):
+    flat = [t for t in corpus(5) if t and len(t) < 2000]
+    texts = ["\n".join(flat[i : i + 3]) for i in range(len(flat))]
+    gone = LineJoin(table(spark, texts), Scratch(spark, "t"), min_words=1, crowd=3).removed().groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    assert {r.k: r.lines for r in gone.collect()} == brute_lines(texts, 1)
+    counters, num, words = np.full(2**18, 10), np.arange(7), np.full(7, 2**60, np.uint64)
+    ((at, names),) = _in_crowds(num, words, num, counters, 3)
+    of = {i: set(names[at == i].tolist()) for i in range(7)}
+    assert len(at) == 28 and all(of[i] & of[j] for i in of for j in of)
+
+
+def test_packed_rows():
+    columns = [np.array(x, t) for x, t in zip(([1, 2**32 - 1], [-1, 2**62], [3, 4], [0, 70000], [2**63, 1], [2**64 - 1, 0]), ROW)]
+    assert all((x == y).all() for x, y in zip(columns, _unpack(_pack(columns), ROW), strict=True))
+
+
+def test_settled_classes_do_not_meet_each_other():
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(30), rng.randint(1, 25))) for _ in range(150)]
+    sets += [sorted({*s, 40 + i}) for i, s in enumerate(sets)]
+    gone = [rng.random() < 0.5 for _ in sets]
+    rows = [(w, i, 2 * len(s) + gone[i], p) for i, s in enumerate(sets) for p, w in enumerate(s) if p <= len(s) - -(-8 * len(s) // 10)]
+    # parities, the sign bit among them
+    sketch = [reduce(xor, (1 << (63 - w % 64) for w in s)) for s in sets]
+    columns = [*zip(*rows), [sketch[i] for _, i, _, _ in rows], [0] * len(rows)]
+    met = [np.array(x, t) for x, t in zip(columns, ROW)]
+    got = {(min(a, b), max(a, b)) for x, y in _similar_sketches(met, 8, 10) for a, b in zip(x.tolist(), y.tolist())}
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
+    assert similar and {p for p in similar if not gone[p[1]]} <= got and not any(gone[b] for _, b in got)
+
+
 def test_op10_takes_short_lines_too(spark, tmp_path):
     flat = [t for t in corpus(2) if t and len(t) < 2000]
     texts = ["\n".join(flat[i : i + 3]) for i in range(len(flat))] + [None, "\n\n", "a b c d\none\nd c B a", "ONE one\na b c d e\n \nf", "f\na b c"]
